@@ -22,7 +22,8 @@ def clamp(c, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def rnd(c, digits: int = 4) -> Column:
-    return F.round(as_col(c).cast("double"), digits)
+    """Rounded double; adding zero turns a rounded -0.0 into 0.0."""
+    return F.round(as_col(c).cast("double"), digits) + F.lit(0.0)
 
 
 def band(c, cuts: Sequence[tuple[float, str]], other: str) -> Column:

@@ -100,7 +100,7 @@ def columns(df: DataFrame, table: str, cols=None, exact: bool = True, counts: Da
             F.lit(table).alias("table"), "column", "rows", "filled", "nulls",
             F.when(F.col("rows") > 0, rnd(100.0 * ratio("nulls", "rows"), 2)).alias("null_pct"),
             "cardinality",
-            rnd(ratio("cardinality", F.greatest(F.lit(1), F.col("filled")))).alias("uniqueness_ratio"),
+            ratio("cardinality", F.greatest(F.lit(1), F.col("filled"))).alias("uniqueness_ratio"),
             (F.col("filled") - F.col("cardinality")).alias("duplicate_proxy"),
         )
     )

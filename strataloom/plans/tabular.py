@@ -23,7 +23,7 @@ def _profile_sql(table: str, c: str) -> str:
     return f"""SELECT '{table}' AS "table", '{c}' AS "column", count(*) AS "rows", count({v}) AS filled,
   count(*) - count({v}) AS nulls, round(100.0 * (count(*) - count({v})) / count(*), 2) AS null_pct,
   count(DISTINCT {v}) AS cardinality,
-  round(count(DISTINCT {v}) / CAST(greatest(1, count({v})) AS DOUBLE), 4) AS uniqueness_ratio,
+  round(count(DISTINCT {v}) / CAST(greatest(1, count({v})) AS DOUBLE), 6) AS uniqueness_ratio,
   count({v}) - count(DISTINCT {v}) AS duplicate_proxy FROM {table}"""
 
 
@@ -32,7 +32,8 @@ PROFILE_SQL = union_sql(_profile_sql(t, c) for t in PROFILED for c in COLUMNS[t]
 
 @query("column_profile", PROFILE_SQL)
 def column_profile(spark, sf_dir):
-    return profile.tables({t: load(spark, sf_dir, t) for t in PROFILED})
+    out = profile.tables({t: load(spark, sf_dir, t) for t in PROFILED})
+    return out.withColumn("uniqueness_ratio", rnd("uniqueness_ratio", 6))
 
 
 @query(
@@ -281,13 +282,13 @@ def _pair_sql(table: str, cols, with_rank: bool) -> str:
         base = "WITH b AS (SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols) + f" FROM {table})"
 
     def r(a, b):
-        return f"round(coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0), 4)"
+        return f"round(coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0), 4) + 0.0"
 
     rows = []
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
             spearman = f", {r('r_' + a, 'r_' + b)} AS spearman" if with_rank else ""
-            rows.append(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", count(*) AS n, {r(a, b)} AS pearson, round(covar_pop({a}, {b}), 4) AS covariance{spearman} FROM b")
+            rows.append(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", count(*) AS n, {r(a, b)} AS pearson, round(covar_pop({a}, {b}), 4) + 0.0 AS covariance{spearman} FROM b")
     return f"{base} {union_sql(rows)}"
 
 
