@@ -140,3 +140,28 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None) -> DataFr
         .withColumn("last", F.col("offset") + upto)
         .select("value", (F.col("last") - (F.col("copies") - 1) / 2.0).alias("avg_rank"))
     )
+
+
+def row_index(df: DataFrame, key: str, by=(), buckets: int | None = None, name: str = "row_idx") -> DataFrame:
+    """0-based position by a unique numeric ``key`` within ``by``, for groups of any size.
+
+    Rows are spread over sketch-quantile buckets of the key, so a group that
+    holds a third of the table is numbered by many tasks.
+    """
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    by = list(by)
+    v = number(key)
+    splits = df.agg(F.percentile_approx(v, [i / buckets for i in range(1, buckets)], ACCURACY).alias("s")).first()["s"] or []
+    splits = sorted({float(s) for s in splits})
+    edges = F.lit(splits).cast("array<double>") if splits else F.array().cast("array<double>")
+    placed = df.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < v)))
+    totals = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_total"))
+    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    local = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(key))
+    return (
+        placed.withColumn("_local", local)
+        .join(offsets, [*by, "_bucket"])
+        .withColumn(name, F.col("_offset") + F.col("_local") - 1)
+        .drop("_bucket", "_local", "_offset")
+    )
