@@ -172,39 +172,74 @@ def token_sets(df: DataFrame, key: str, text: str, pattern: str = "[a-z0-9_]+")
     return df.select(key, sets.alias("tokens")).where(F.size("tokens") > 0).withColumn("set_id", F.sha2(F.concat_ws("\u0001", "tokens"), 256))
 
 
-def set_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Set pairs with Jaccard >= ``threshold``: ``left_set, right_set, jaccard``.
+# Set sizes up to 16 are their own class; larger ones fall into classes 40% apart.
+EXACT_SIZES, STEP = 16, 1.4
+
+
+def _size_class(n: Column) -> Column:
+    far = EXACT_SIZES + 1 + F.floor(F.log(n / float(EXACT_SIZES + 1)) / F.log(F.lit(STEP)) + 1e-9)
+    return F.when(n <= EXACT_SIZES, n).otherwise(far).cast("int")
+
+
+def _class_floor(c: Column) -> Column:
+    """Smallest size a class may hold."""
+    return F.when(c <= EXACT_SIZES, c.cast("double")).otherwise((EXACT_SIZES + 1) * F.pow(F.lit(STEP), c - EXACT_SIZES - 1) * (1 - 1e-6))
+
+
+def _ranked(sets: DataFrame, freq: DataFrame) -> DataFrame:
+    """Tokens of every set, rarest first: ``set_id, n, ranked``."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda r: r["token"])
+    return (
+        sets.select("set_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(freq, "token")
+        .groupBy("set_id", "n").agg(cells.alias("ranked"))
+    )
+
+
+def set_pairs(left: DataFrame, right: DataFrame, threshold: float, measure: str = "jaccard") -> DataFrame:
+    """Set pairs at or above ``threshold``: ``left_set, right_set, score``.
 
     ``left`` and ``right`` hold ``set_id, tokens``. Equal sets are one row, so
-    a large group of copies costs one comparison. Sets are indexed only under
-    their rarest tokens (prefix filter) and within the length bound; both are
-    exact for the threshold, so frequent tokens never form the join key unless
-    a set has nothing rarer.
+    a large group of copies costs one comparison. A pair that reaches the
+    threshold shares a known number of tokens, hence one of the rarest tokens
+    of each side; sets are indexed under those only, per size class, so a
+    token of a third of all sets is no join key unless the sets hold nothing
+    else. Exact for ``jaccard`` and for ``containment`` (share of the left set).
     """
     lefts = left.select("set_id", "tokens").dropDuplicates(["set_id"])
     rights = right.select("set_id", "tokens").dropDuplicates(["set_id"])
     seen = lefts.select(F.explode("tokens").alias("token")).unionAll(rights.select(F.explode("tokens").alias("token")))
     freq = seen.groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(sets: DataFrame, side: str) -> DataFrame:
-        size = F.size("tokens")
-        rare = (
-            sets.select("set_id", size.alias("n"), F.explode("tokens").alias("token")).join(freq, "token")
-            .groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    n = F.col("n").cast("double")
+    t = F.lit(float(threshold))
+
+    def index(ranked: DataFrame, side: str, classes: Column, shared) -> DataFrame:
+        """Prefix tokens per partner class; ``shared`` gives the least overlap with a class."""
+        spread = ranked.select("set_id", "n", "ranked", F.explode(classes).alias("other"))
+        keep = (F.col("n") - F.ceil(shared(F.col("other")) - 1e-6) + 1).cast("int")
+        own = _size_class(F.col("n"))
+        return spread.where(keep > 0).select(
+            F.col("set_id").alias(f"{side}_set"), own.alias("own"), "other", F.explode(F.slice("ranked", 1, keep)).alias("token")
         )
-        length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-        return rare.select(
-            F.col("set_id").alias(f"{side}_set"), F.col("n").alias(f"{side}_n"),
-            F.explode(F.slice("ranked", 1, F.greatest(F.lit(1), length).cast("int"))).alias("r"),
-        ).select(f"{side}_set", f"{side}_n", F.col("r.token").alias("token"))
-
-    sized = (F.col("left_n") >= threshold * F.col("right_n") - 1e-9) & (F.col("right_n") >= threshold * F.col("left_n") - 1e-9)
-    found = prefixes(lefts, "left").join(prefixes(rights, "right"), "token").where(sized).select("left_set", "right_set").distinct()
+
+    ranked_l, ranked_r = _ranked(lefts, freq), _ranked(rights, freq)
+    if measure == "jaccard":
+        near = F.sequence(_size_class(F.ceil(t * n - 1e-9)), _size_class(F.floor(n / t + 1e-9)))
+        shared = lambda c: t / (1.0 + t) * (n + _class_floor(c))
+        a = index(ranked_l, "left", near, shared).withColumnsRenamed({"own": "lc", "other": "rc"})
+        b = index(ranked_r, "right", near, shared).withColumnsRenamed({"own": "rc", "other": "lc"})
+        found = a.join(b, ["token", "lc", "rc"])
+    else:
+        a = index(ranked_l, "left", F.array(_size_class(F.col("n"))), lambda c: t * n).withColumnRenamed("own", "lc").drop("other")
+        reach = F.sequence(F.lit(1), _size_class(F.floor(n / t + 1e-9)))
+        b = index(ranked_r, "right", reach, lambda c: t * _class_floor(c)).withColumnRenamed("other", "lc").drop("own")
+        found = a.join(b, ["token", "lc"])
+    pairs = found.select("left_set", "right_set").distinct()
     scored = (
-        found.join(lefts.select(F.col("set_id").alias("left_set"), F.col("tokens").alias("lt")), "left_set")
+        pairs.join(lefts.select(F.col("set_id").alias("left_set"), F.col("tokens").alias("lt")), "left_set")
         .join(rights.select(F.col("set_id").alias("right_set"), F.col("tokens").alias("rt")), "right_set")
     )
-    return scored.withColumn("jaccard", jaccard("lt", "rt")).where(F.col("jaccard") >= threshold - 1e-12).select("left_set", "right_set", "jaccard")
+    score = jaccard("lt", "rt") if measure == "jaccard" else F.size(F.array_intersect("lt", "rt")) / F.size("lt")
+    return scored.withColumn("score", score).where(F.col("score") >= threshold - 1e-12).select("left_set", "right_set", "score")
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, left_key: str, right_key: str, text: str = "text") -> DataFrame:
@@ -214,7 +249,7 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, left_key:
     return (
         pairs.join(ls.select(F.col("set_id").alias("left_set"), left_key), "left_set")
         .join(rs.select(F.col("set_id").alias("right_set"), right_key), "right_set")
-        .select(left_key, right_key, "jaccard")
+        .select(left_key, right_key, F.col("score").alias("jaccard"))
     )
 
 

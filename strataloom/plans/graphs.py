@@ -1 +1,442 @@
-"""Placeholder."""
+"""The document graph: building, metrics, components, quality, governance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataloom.functions.ids import edge_key
+from strataloom.functions.numeric import rnd
+from strataloom.operators import extract, graph, ontology
+from strataloom.plans import base
+from strataloom.plans.extraction import relations_sql
+from strataloom.plans.registry import query, union_sql
+
+# SQL twin of the graph: nodes by lower text, edges by lower ends and relation, confidence from pair counts.
+REL = relations_sql()
+GRAPH = f"""{REL}, n AS (SELECT lower(text) AS id, min(text) AS label, min(type) AS entity_type, count(*) AS mentions FROM m GROUP BY 1),
+pc AS (SELECT least(lower(source), lower(target)) AS l, greatest(lower(source), lower(target)) AS g, count(*) AS k FROM r GROUP BY 1, 2),
+e0 AS (SELECT lower(source) AS source, lower(target) AS target, relation, count(*) AS mentions FROM r WHERE lower(source) <> lower(target) GROUP BY 1, 2, 3),
+e AS (SELECT e0.*, round(least(1.0, CASE WHEN relation = 'related_to' THEN 0.4 ELSE 0.7 END + least(0.2, 0.02 * coalesce(pc.k, 0)))::DOUBLE, 4) AS confidence FROM e0 LEFT JOIN pc ON l = least(source, target) AND g = greatest(source, target))"""
+DEGREES = """dg AS (SELECT n.id, count(*) FILTER (x.k = 'i') AS in_degree, count(*) FILTER (x.k = 'o') AS out_degree, count(x.id) AS degree FROM n LEFT JOIN
+  (SELECT source AS id, 'o' AS k FROM e UNION ALL SELECT target, 'i' FROM e) x ON x.id = n.id GROUP BY 1)"""
+
+
+def parts(spark, sf_dir):
+    def make_nodes():
+        return graph.build(base.mentions(spark, sf_dir), base.relations(spark, sf_dir))[0]
+
+    def make_edges():
+        rels = base.relations(spark, sf_dir)
+        edges = graph.build(base.mentions(spark, sf_dir), rels)[1]
+        return graph.edge_confidence(edges, extract.pair_counts(rels))
+
+    return base.kept(spark, sf_dir, "graph_nodes", make_nodes), base.kept(spark, sf_dir, "graph_edges", make_edges)
+
+
+@query("graph_nodes", f"WITH {GRAPH} SELECT id, label, entity_type, mentions FROM n")
+def graph_nodes(spark, sf_dir):
+    return parts(spark, sf_dir)[0].select("id", "label", "entity_type", "mentions")
+
+
+@query("graph_edges", f"WITH {GRAPH} SELECT source, target, relation, mentions, confidence FROM e")
+def graph_edges(spark, sf_dir):
+    return parts(spark, sf_dir)[1].select("source", "target", "relation", "mentions", "confidence")
+
+
+@query("degrees", f"WITH {GRAPH}, {DEGREES} SELECT * FROM dg")
+def degrees(spark, sf_dir):
+    return graph.degrees(*parts(spark, sf_dir)).select("id", *[F.col(c).cast("long").alias(c) for c in ("in_degree", "out_degree", "degree")])
+
+
+@query("central_entities", f"WITH {GRAPH}, {DEGREES} SELECT id, degree FROM dg ORDER BY degree DESC, id LIMIT 15")
+def central_entities(spark, sf_dir):
+    return graph.central(degrees(spark, sf_dir)).select("id", "degree")
+
+
+@query(
+    "density",
+    f"""WITH {GRAPH}, k AS (SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM e) AS e) SELECT n AS node_count, e AS edge_count, round(e / (CAST(n AS DOUBLE) * (n - 1)), 6) AS density, round(2.0 * e / n, 4)::DOUBLE AS avg_degree FROM k""",
+)
+def density(spark, sf_dir):
+    return graph.density(*parts(spark, sf_dir))
+
+
+@query(
+    "density_undirected",
+    f"""WITH {GRAPH}, k AS (SELECT (SELECT count(*) FROM n) AS n, (SELECT count(*) FROM e) AS e) SELECT n AS node_count, e AS edge_count, round(e / (CAST(n AS DOUBLE) * (n - 1) / 2.0), 6) AS density, round(2.0 * e / n, 4)::DOUBLE AS avg_degree FROM k""",
+)
+def density_undirected(spark, sf_dir):
+    return graph.density(*parts(spark, sf_dir), directed=False)
+
+
+COMPONENTS = f"""WITH RECURSIVE {GRAPH}, u AS (SELECT source AS s, target AS t FROM e UNION SELECT target, source FROM e UNION SELECT id, id FROM n),
+reach(s, t) AS (SELECT s, t FROM u UNION SELECT reach.s, u.t FROM reach JOIN u ON reach.t = u.s), l AS (SELECT s AS id, min(t) AS component FROM reach GROUP BY 1)"""
+
+
+@query("components", f"{COMPONENTS} SELECT id, component FROM l")
+def components(spark, sf_dir):
+    return base.kept(spark, sf_dir, "components", lambda: graph.components(*parts(spark, sf_dir)))
+
+
+@query("component_sizes", f"{COMPONENTS} SELECT component, count(*) AS size FROM l GROUP BY 1")
+def component_sizes(spark, sf_dir):
+    return graph.component_sizes(components(spark, sf_dir))
+
+
+@query("isolated_nodes", f"WITH {GRAPH} SELECT id, label FROM n WHERE id NOT IN (SELECT source FROM e UNION SELECT target FROM e)")
+def isolated_nodes(spark, sf_dir):
+    return graph.isolated(*parts(spark, sf_dir)).select("id", "label")
+
+
+@query("noisy_hubs", f"WITH {GRAPH}, {DEGREES} SELECT id, degree FROM dg WHERE degree >= greatest(8, CAST(floor(0.02 * (SELECT count(*) FROM n)) AS BIGINT))")
+def noisy_hubs(spark, sf_dir):
+    """Hubs from 2% of the nodes on (the default of 20% is met by no node here)."""
+    return graph.hubs(degrees(spark, sf_dir), share=0.02).select("id", "degree")
+
+
+def rough(spark, sf_dir):
+    """Edges as extracted per document, repeats and self links included."""
+    r = base.relations(spark, sf_dir)
+    return r.select(F.lower("source").alias("source"), F.lower("target").alias("target"), "relation", rnd(F.length("context") / 120.0).alias("confidence"))
+
+
+QUALITY = f"""{REL}, kn AS (SELECT DISTINCT lower(text) AS id FROM m WHERE type <> 'value'), x AS (SELECT lower(source) AS source, lower(target) AS target, relation, round(length(context) / 120.0::DOUBLE, 4) AS confidence FROM r),
+q AS (SELECT 'weak_edge' AS finding, source, target, relation, confidence AS value FROM x WHERE confidence < 0.5
+UNION ALL SELECT 'invalid_edge', source, target, relation, NULL FROM x WHERE source = target OR source NOT IN (SELECT id FROM kn) OR target NOT IN (SELECT id FROM kn)
+UNION ALL SELECT 'duplicate_edge', source, target, relation, count(*)::DOUBLE FROM x GROUP BY 2, 3, 4 HAVING count(*) > 1
+UNION ALL SELECT 'sparse_node', id, NULL, NULL, count(*)::DOUBLE FROM (SELECT source AS id FROM x UNION ALL SELECT target FROM x) GROUP BY 2 HAVING count(*) <= 1)"""
+
+
+def quality_rows(spark, sf_dir):
+    nodes = parts(spark, sf_dir)[0].where("entity_type <> 'value'")
+    return graph.quality(nodes, rough(spark, sf_dir))
+
+
+@query("edge_quality", f"WITH {QUALITY} SELECT * FROM q")
+def edge_quality(spark, sf_dir):
+    return quality_rows(spark, sf_dir)
+
+
+@query("weak_edges", f"WITH {GRAPH} SELECT source, target, relation, confidence FROM e WHERE confidence < 0.5")
+def weak_edges(spark, sf_dir):
+    found = graph.quality(*parts(spark, sf_dir)).where("finding = 'weak_edge'")
+    return found.select("source", "target", "relation", F.col("value").alias("confidence"))
+
+
+@query("missing_inverse", f"WITH {GRAPH} SELECT source, target, relation FROM e WHERE relation IN ('related_to', 'cross_source_related') AND NOT EXISTS (SELECT 1 FROM e b WHERE b.source = e.target AND b.target = e.source AND b.relation = e.relation)")
+def missing_inverse(spark, sf_dir):
+    return graph.missing_inverse(parts(spark, sf_dir)[1])
+
+
+TYPED = """x AS (SELECT lower(source) AS source, lower(target) AS target, relation || ':' || source_type AS relation FROM r)"""
+
+
+@query("multi_relation_pairs", f"WITH {REL}, {TYPED} SELECT source, target, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations FROM x GROUP BY 1, 2 HAVING count(DISTINCT relation) > 1")
+def multi_relation_pairs(spark, sf_dir):
+    r = base.relations(spark, sf_dir).select(
+        F.lower("source").alias("source"), F.lower("target").alias("target"), F.concat("relation", F.lit(":"), "source_type").alias("relation")
+    )
+    return graph.multi_relation(r).withColumn("relations", F.array_join("relations", ","))
+
+
+SOURCES = """ns AS (SELECT DISTINCT lower(text) AS id, source AS source_id FROM m), es AS (SELECT DISTINCT lower(source) || '|' || relation || '|' || lower(target) AS edge_key, src AS source_id FROM r WHERE lower(source) <> lower(target))"""
+
+
+def node_sources(spark, sf_dir):
+    return base.mentions(spark, sf_dir).select(F.lower("text").alias("id"), "source_id").distinct()
+
+
+def edge_sources(spark, sf_dir):
+    r = base.relations(spark, sf_dir).where(F.lower("source") != F.lower("target"))
+    return r.select(edge_key(F.lower("source"), "relation", F.lower("target")).alias("edge_key"), "source_id").distinct()
+
+
+IN_SCOPE = "(SELECT source FROM documents GROUP BY source HAVING avg(n_chars) > (SELECT avg(n_chars) FROM documents))"
+
+
+def scoped(spark, sf_dir):
+    """Scope: the sources whose documents are longer than average."""
+    from strataloom.session import load
+
+    docs = load(spark, sf_dir, "documents")
+    mean = docs.agg(F.avg("n_chars").alias("mean"))
+    wide = graph.side_by_side_rows(docs.groupBy(F.col("source").alias("source_id")).agg(F.avg("n_chars").alias("a")), mean).where("a > mean").select("source_id")
+    nodes, edges = parts(spark, sf_dir)
+    edges = edges.withColumn("edge_key", edge_key("source", "relation", "target"))
+    return graph.scope(nodes, edges, node_sources(spark, sf_dir), edge_sources(spark, sf_dir), wide)
+
+
+@query("scoped_nodes", f"WITH {GRAPH}, {SOURCES} SELECT id, label FROM n WHERE id IN (SELECT id FROM ns WHERE source_id IN {IN_SCOPE})")
+def scoped_nodes(spark, sf_dir):
+    return scoped(spark, sf_dir)[0].select("id", "label")
+
+
+@query(
+    "scoped_edges",
+    f"""WITH {GRAPH}, {SOURCES}, k AS (SELECT id FROM ns WHERE source_id IN {IN_SCOPE}) SELECT source, target, relation FROM e WHERE source || '|' || relation || '|' || target IN (SELECT edge_key FROM es WHERE source_id IN {IN_SCOPE}) AND source IN (FROM k) AND target IN (FROM k)""",
+)
+def scoped_edges(spark, sf_dir):
+    return scoped(spark, sf_dir)[1].select("source", "target", "relation")
+
+
+@query(
+    "file_graphs_union",
+    f"""WITH {REL}, x AS (SELECT DISTINCT src || ':' || lower(source) AS source, src || ':' || lower(target) AS target, relation FROM r WHERE lower(source) <> lower(target)) SELECT source, target, relation FROM x""",
+)
+def file_graphs_union(spark, sf_dir):
+    """One graph per source file in one job, ids prefixed by the file."""
+    return graph.build(base.mentions(spark, sf_dir), base.relations(spark, sf_dir), file="source_id")[1].select("source", "target", "relation")
+
+
+def halves(spark, sf_dir):
+    """Graph of the English documents as the stored one, graph of the others as the arriving one."""
+    from strataloom.session import load
+
+    lang = load(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "en").alias("en"))
+    m, r = base.mentions(spark, sf_dir).join(lang, "doc_id"), base.relations(spark, sf_dir).join(lang, "doc_id")
+    out = []
+    for en in (True, False):
+        nodes, edges = graph.build(m.where(F.col("en") == en), r.where(F.col("en") == en))
+        out.append((nodes.withColumn("confidence", rnd(0.5 + 0.01 * F.least(F.lit(20), F.col("mentions")))), edges.withColumn("confidence", rnd(0.4 + 0.01 * F.least(F.lit(20), F.col("mentions"))))))
+    return out
+
+
+UPSERT = f"""{REL}, v AS (SELECT lower(m.text) AS id, lang = 'en' AS en, count(*) AS k FROM m JOIN documents d ON d.doc_id = m.doc_id GROUP BY 1, 2),
+un AS (SELECT id, round(max(0.5 + 0.01 * least(20, k))::DOUBLE, 4) AS confidence, CASE WHEN bool_or(en) AND bool_or(NOT en) THEN 'updated' WHEN bool_or(en) THEN 'kept' ELSE 'created' END AS status FROM v GROUP BY 1),
+w AS (SELECT lower(source) AS source, lower(target) AS target, relation, lang = 'en' AS en, count(*) AS k FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE lower(r.source) <> lower(r.target) GROUP BY 1, 2, 3, 4),
+ue AS (SELECT source, target, relation, round(max(0.4 + 0.01 * least(20, k))::DOUBLE, 4) AS confidence, CASE WHEN bool_or(en) AND bool_or(NOT en) THEN 'updated' WHEN bool_or(en) THEN 'kept' ELSE 'created' END AS status FROM w GROUP BY 1, 2, 3)""".replace("lower(source) AS source, lower(target) AS target, relation, lang", "lower(r.source) AS source, lower(r.target) AS target, relation, lang")
+
+
+@query("upsert_nodes", f"WITH {UPSERT} SELECT id, confidence, status FROM un")
+def upsert_nodes(spark, sf_dir):
+    (old, _), (new, _) = halves(spark, sf_dir)
+    return graph.upsert_nodes(old, new).select("id", "confidence", "status")
+
+
+@query("upsert_edges", f"WITH {UPSERT} SELECT source, target, relation, confidence, status FROM ue")
+def upsert_edges(spark, sf_dir):
+    (_, old), (_, new) = halves(spark, sf_dir)
+    return graph.upsert_edges(old, new).select("source", "target", "relation", "confidence", "status")
+
+
+@query(
+    "upsert_counts",
+    f"WITH {UPSERT} SELECT (SELECT count(*) FROM un WHERE status = 'created') AS nodes_created, (SELECT count(*) FROM un WHERE status = 'updated') AS nodes_updated, (SELECT count(*) FROM ue WHERE status = 'created') AS edges_created, (SELECT count(*) FROM ue WHERE status = 'updated') AS edges_updated",
+)
+def upsert_counts(spark, sf_dir):
+    (old_n, old_e), (new_n, new_e) = halves(spark, sf_dir)
+    return graph.upsert_counts(graph.upsert_nodes(old_n, new_n), graph.upsert_edges(old_e, new_e))
+
+
+def suppressed(spark, sf_dir):
+    """Edges seen once are suppressed, then the ones that start at an organization are restored."""
+    nodes, edges = parts(spark, sf_dir)
+    edges = edges.withColumn("edge_key", edge_key("source", "relation", "target"))
+    off = edges.where("mentions = 1").select("edge_key", F.lit("suppress").alias("action"), F.lit("seen once").alias("reason"))
+    once = graph.suppress(edges, off)
+    orgs = nodes.where("entity_type = 'organization'").select(F.col("id").alias("source"))
+    on = once.join(orgs, "source", "left_semi").where("suppressed").select("edge_key", F.lit("restore").alias("action"), F.lit(None).cast("string").alias("reason"))
+    return graph.suppress(once, on)
+
+
+SUPPRESSED = """se AS (SELECT e.*, e.mentions = 1 AND n.entity_type <> 'organization' AS suppressed FROM e JOIN n ON n.id = e.source)"""
+
+
+@query("suppressed_edges", f"WITH {GRAPH}, {SUPPRESSED} SELECT source, target, relation, suppressed, CASE WHEN suppressed THEN 'seen once' END AS suppression_reason FROM se")
+def suppressed_edges(spark, sf_dir):
+    return suppressed(spark, sf_dir).select("source", "target", "relation", "suppressed", "suppression_reason")
+
+
+@query(
+    "graph_metrics",
+    f"""WITH {GRAPH}, {SUPPRESSED}, k AS (SELECT (SELECT count(*) FROM n) AS node_count, count(*) AS edge_count, count(*) FILTER (NOT suppressed) AS active_edge_count, count(*) FILTER (suppressed) AS suppressed_edge_count,
+  count(*) FILTER (NOT suppressed AND confidence < 0.5) AS low, count(*) FILTER (NOT suppressed AND confidence >= 0.5 AND confidence < 0.8) AS medium, count(*) FILTER (NOT suppressed AND confidence >= 0.8) AS high FROM se)
+SELECT *, round(100.0 * suppressed_edge_count / edge_count, 2)::DOUBLE AS suppressed_ratio_pct, round(low / CAST(active_edge_count AS DOUBLE), 4) AS high_risk_edge_ratio, 0.0::DOUBLE AS contradiction_ratio FROM k""",
+)
+def graph_metrics(spark, sf_dir):
+    return graph.metrics(parts(spark, sf_dir)[0], suppressed(spark, sf_dir))
+
+
+def _share(table: str, col: str) -> str:
+    return f"SELECT lower({col}) AS name, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM {table}), 2)::DOUBLE AS percentage FROM {table} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"
+
+
+@query("top_entity_types", f"WITH {GRAPH} {_share('n', 'entity_type')}")
+def top_entity_types(spark, sf_dir):
+    return graph.top_share(parts(spark, sf_dir)[0], "entity_type")
+
+
+@query("top_relation_types", f"WITH {GRAPH} {_share('e', 'relation')}")
+def top_relation_types(spark, sf_dir):
+    return graph.top_share(parts(spark, sf_dir)[1], "relation")
+
+
+@query(
+    "source_coverage",
+    f"""WITH {GRAPH}, {SOURCES} SELECT source_id, coalesce(a, 0) AS node_count, coalesce(b, 0) AS edge_count FROM (SELECT source_id, count(*) AS a FROM ns GROUP BY 1) FULL JOIN (SELECT source_id, count(*) AS b FROM es GROUP BY 1) USING (source_id) ORDER BY coalesce(a, 0) + coalesce(b, 0) DESC, source_id LIMIT 10""",
+)
+def source_coverage(spark, sf_dir):
+    return graph.source_coverage(node_sources(spark, sf_dir), edge_sources(spark, sf_dir))
+
+
+@query(
+    "graph_summary",
+    f"""WITH {GRAPH}, {SOURCES}, k AS (SELECT (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM e) AS edge_count, (SELECT count(*) FROM e WHERE confidence < 0.5) AS low,
+  (SELECT count(*) FROM (SELECT id FROM ns GROUP BY 1 HAVING count(*) > 1)) AS multi, (SELECT count(DISTINCT source_id) FROM ns) AS source_files_count)
+SELECT node_count, edge_count, low, source_files_count, round(multi / CAST(node_count AS DOUBLE), 4) AS multi_source_entity_ratio, round(edge_count / (CAST(node_count AS DOUBLE) * (node_count - 1)), 6) AS density,
+  CASE WHEN low / CAST(edge_count AS DOUBLE) > 0.25 THEN 'many edges have low confidence' ELSE '' END AS caveats FROM k""",
+)
+def graph_summary(spark, sf_dir):
+    out = graph.summary(*parts(spark, sf_dir), node_sources(spark, sf_dir))
+    return out.select("node_count", "edge_count", "low", "source_files_count", "multi_source_entity_ratio", "density", "caveats")
+
+
+@query(
+    "cycles",
+    f"""WITH {GRAPH}, x AS (SELECT DISTINCT source AS s, target AS t FROM e) SELECT s || '>' || t AS path, 2 AS length FROM x WHERE t > s AND EXISTS (SELECT 1 FROM x y WHERE y.s = x.t AND y.t = x.s)
+UNION ALL SELECT a.s || '>' || a.t || '>' || b.t, 3 FROM x a JOIN x b ON b.s = a.t JOIN x c ON c.s = b.t AND c.t = a.s WHERE a.t > a.s AND b.t > a.s AND b.t <> a.t""",
+)
+def cycles(spark, sf_dir):
+    found = graph.cycles(parts(spark, sf_dir)[1], longest=3)
+    return found.select(F.array_join("nodes", ">").alias("path"), "length")
+
+
+# --- ontology --------------------------------------------------------------------------
+
+RENAME = {"value": "monetary", "time": "temporal", "entity": "concept"}
+
+
+def typed_relations(spark, sf_dir):
+    r = base.relations(spark, sf_dir)
+    for side in ("source_type", "target_type"):
+        r = r.replace(RENAME, subset=[side])
+    return r
+
+
+TYPE2 = "CASE {c} WHEN 'value' THEN 'monetary' WHEN 'time' THEN 'temporal' WHEN 'entity' THEN 'concept' ELSE {c} END"
+ISA = union_sql(f"SELECT '{t}' AS type, {repr(p) if p else 'NULL'} AS parent" for t, p in ontology.TAXONOMY)
+RULES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ontology.CONSTRAINTS)
+
+
+@query("isa_closure", f"WITH RECURSIVE t AS ({ISA}), up(type, ancestor) AS (SELECT type, type FROM t UNION SELECT up.type, t.parent FROM up JOIN t ON up.ancestor = t.type WHERE t.parent IS NOT NULL) SELECT s.source_type AS type, up.ancestor, s.n AS mentions FROM up JOIN (WITH {REL} SELECT {TYPE2.format(c='source_type')} AS source_type, count(*) AS n FROM r GROUP BY 1) s ON s.source_type = up.type")
+def isa_closure(spark, sf_dir):
+    """Mentions of relation sources rolled up to every ancestor type."""
+    up = ontology.closure(ontology.taxonomy(spark))
+    counted = typed_relations(spark, sf_dir).groupBy(F.col("source_type").alias("type")).agg(F.count("*").alias("mentions"))
+    return counted.join(F.broadcast(up), "type").select("type", "ancestor", "mentions")
+
+
+GOVERNED = f"""WITH RECURSIVE {REL}, tax AS ({ISA}), up(type, ancestor) AS (SELECT type, type FROM tax UNION SELECT up.type, tax.parent FROM up JOIN tax ON up.ancestor = tax.type WHERE tax.parent IS NOT NULL),
+rules(relation, s, t) AS (VALUES {RULES}), ok AS (SELECT DISTINCT relation, a.type AS s, b.type AS t FROM rules JOIN up a ON a.ancestor = rules.s JOIN up b ON b.ancestor = rules.t),
+x AS (SELECT *, {TYPE2.format(c='source_type')} AS st, {TYPE2.format(c='target_type')} AS tt FROM r),
+g AS (SELECT *, CASE WHEN relation NOT IN (SELECT relation FROM rules) THEN 'review_required' WHEN st NOT IN (SELECT type FROM tax) OR tt NOT IN (SELECT type FROM tax) THEN 'review_required'
+  WHEN relation = 'related_to' OR EXISTS (SELECT 1 FROM ok WHERE ok.relation = x.relation AND ok.s = x.st AND ok.t = x.tt) THEN 'auto_accept' ELSE 'reject' END AS action FROM x)"""
+
+
+def strict_rules(spark):
+    """The seed constraints without the catch-all for ``related_to``: it is allowed between organizations and agents only."""
+    rows = [c for c in ontology.CONSTRAINTS if c[0] != "related_to"] + [("related_to", "agent", "agent"), ("related_to", "concept", "organization")]
+    return ontology.constraints(spark, rows)
+
+
+@query("govern_relations", f"{GOVERNED} SELECT relation, st AS source_type, tt AS target_type, action, count(*) AS count FROM g GROUP BY ALL")
+def govern_relations(spark, sf_dir):
+    g = ontology.govern(typed_relations(spark, sf_dir), ontology.constraints(spark), ontology.taxonomy(spark))
+    return g.groupBy("relation", "source_type", "target_type", "action").agg(F.count("*").alias("count"))
+
+
+STRICT = GOVERNED.replace("('related_to', 'ANY', 'ANY')", "('related_to', 'agent', 'agent'), ('related_to', 'concept', 'organization')").replace("WHEN relation = 'related_to' OR EXISTS", "WHEN EXISTS")
+
+
+def governed_strict(spark, sf_dir):
+    return ontology.govern(typed_relations(spark, sf_dir), strict_rules(spark), ontology.taxonomy(spark))
+
+
+@query("enforced_relations", f"{STRICT} SELECT doc_id, chunk_idx, sentence, i, j, source, target, action FROM g WHERE action = 'auto_accept'")
+def enforced_relations(spark, sf_dir):
+    return ontology.gate(governed_strict(spark, sf_dir), "enforce").select("doc_id", "chunk_idx", "sentence", "i", "j", "source", "target", "action")
+
+
+@query(
+    "governance_verdicts",
+    f"""{STRICT} SELECT count(*) FILTER (action = 'auto_accept') AS auto_accept, count(*) FILTER (action = 'review_required') AS review_required, count(*) FILTER (action = 'reject') AS reject,
+  round(1 - count(*) FILTER (action = 'reject') / CAST(count(*) AS DOUBLE), 4) AS ontology_consistency FROM g""",
+)
+def governance_verdicts(spark, sf_dir):
+    return ontology.verdicts(governed_strict(spark, sf_dir))
+
+
+@query("ontology_update")
+def ontology_update(spark, sf_dir):
+    """Predicates found in the text but unknown to the ontology are added with the type pairs seen."""
+    seen = typed_relations(spark, sf_dir).select(F.concat(F.lit("seen_"), "relation").alias("relation"), "source_type", "target_type").distinct()
+    versions = spark.range(1).select(F.lit(1).alias("version"))
+    rules, version = ontology.add_predicate(ontology.constraints(spark), seen, versions)
+    return graph.side_by_side_rows(rules, version)
+
+
+def constructed(spark, sf_dir):
+    nodes, _ = parts(spark, sf_dir)
+    g = ontology.gate(governed_strict(spark, sf_dir), "enforce")
+    names = base.mentions(spark, sf_dir).select("text", F.lower("text").alias("id")).distinct()
+    rels = graph.edge_confidence(g, extract.pair_counts(base.relations(spark, sf_dir)))
+    return graph.construct(nodes, rels, names)
+
+
+@query(
+    "constructed_edges",
+    f"""{STRICT} SELECT lower(source) AS source, lower(target) AS target, relation, min(action) AS governance, count(DISTINCT src) AS sources, count(*) AS triples FROM g WHERE action = 'auto_accept' AND lower(source) <> lower(target) GROUP BY 1, 2, 3""",
+)
+def constructed_edges(spark, sf_dir):
+    return constructed(spark, sf_dir)[1].select("source", "target", "relation", "governance", "sources", "triples")
+
+
+@query("triples", f"WITH {GRAPH} SELECT source AS s, relation AS p, target AS o FROM e")
+def triples(spark, sf_dir):
+    from strataloom.sources import sinks
+
+    return sinks.triples(parts(spark, sf_dir)[1])
+
+
+def violations(spark, sf_dir):
+    nodes, edges = parts(spark, sf_dir)
+    return ontology.violations(edges, nodes.replace(RENAME, subset=["entity_type"]), strict_rules(spark), ontology.taxonomy(spark))
+
+
+@query("ontology_violations")
+def ontology_violations(spark, sf_dir):
+    return violations(spark, sf_dir)
+
+
+@query("graph_consistency")
+def graph_consistency(spark, sf_dir):
+    nodes, edges = parts(spark, sf_dir)
+    return graph.consistency(nodes, edges, violations(spark, sf_dir), graph.cycles(edges, longest=3))
+
+
+@query("entity_list", f"WITH {GRAPH}, {DEGREES} SELECT n.id, n.label, n.entity_type, dg.degree FROM n JOIN dg USING (id)")
+def entity_list(spark, sf_dir):
+    return graph.entity_list(*parts(spark, sf_dir)).select("id", "label", "entity_type", F.col("degree").cast("long").alias("degree"))
+
+
+@query("relation_list", f"WITH {GRAPH} SELECT a.label AS source_label, relation, b.label AS target_label, confidence FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target")
+def relation_list(spark, sf_dir):
+    return graph.relation_list(*parts(spark, sf_dir)).select("source_label", "relation", "target_label", "confidence")
+
+
+@query(
+    "semantic_findings",
+    f"""WITH {REL}, d AS (SELECT DISTINCT source AS source_id, text, label, type FROM m), v AS (SELECT text, CAST(replace(regexp_replace(lower(text), '[$a-z ]', '', 'g'), ',', '') AS DOUBLE) * CASE WHEN ends_with(lower(text), 'million') THEN 1e6 WHEN ends_with(lower(text), 'billion') THEN 1e9 WHEN ends_with(lower(text), 'thousand') THEN 1e3 ELSE 1 END AS v
+  FROM d WHERE regexp_matches(lower(text), '^\\$?[0-9]+(,[0-9]{{3}})*(\\.[0-9]+)?(\\s*(million|billion|thousand))?$'))
+SELECT 'type_conflict' AS finding, lower(text) AS subject FROM d GROUP BY 2 HAVING count(DISTINCT type) > 1
+UNION ALL SELECT 'numeric_anomaly', text FROM v WHERE abs(v - (SELECT avg(v) FROM v)) / (SELECT stddev_pop(v) FROM v) >= 3""",
+)
+def semantic_findings(spark, sf_dir):
+    found = ontology.semantic_findings(base.entities(spark, sf_dir), base.relations(spark, sf_dir), 2026)
+    return found.select("finding", "subject")
+
+
+@query("semantic_consistency")
+def semantic_consistency(spark, sf_dir):
+    ents, rels = base.entities(spark, sf_dir), base.relations(spark, sf_dir)
+    return ontology.semantic_score(ontology.semantic_findings(ents, rels, 2026), ents, rels)

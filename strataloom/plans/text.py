@@ -174,11 +174,11 @@ def malformed_table_rows(spark, sf_dir):
 
 @query(
     "page_confidence",
-    r"""SELECT doc_id, round(CAST(least(1.0, 0.55 * least(1.0, length(text) / 1200.0) + 0.45 * (length(regexp_replace(text, '[^\pL\pN\s]', '', 'g')) / CAST(greatest(1, length(text)) AS DOUBLE))), 4) AS confidence,
-  round(least(1.0, 0.55 * least(1.0, length(text) / 1200.0) + 0.45 * (length(regexp_replace(text, '[^\pL\pN\s]', '', 'g')) / CAST(greatest(1, length(text)) AS DOUBLE))), 4) < 0.45 AS noise_region FROM documents""",
+    r"""SELECT doc_id, round(c, 6) AS confidence, round(c, 6) < 0.45 AS noise_region FROM (SELECT doc_id, least(1.0, 0.55::DOUBLE * least(1.0, length(text) / 1200.0) +
+  0.45::DOUBLE * (length(regexp_replace(text, '[^\pL\pN\s]', '', 'g')) / CAST(greatest(1, length(text)) AS DOUBLE))) AS c FROM documents)""",
 )
 def page_confidence(spark, sf_dir):
-    return files.block_confidence(load(spark, sf_dir, "documents")).select("doc_id", "confidence", "noise_region")
+    return files.block_confidence(load(spark, sf_dir, "documents"), digits=6).select("doc_id", "confidence", "noise_region")
 
 
 @query(

@@ -107,12 +107,12 @@ def alnum_ratio(c) -> Column:
     return ratio(kept, F.greatest(F.lit(1), F.length(text)))
 
 
-def block_confidence(blocks: DataFrame, gen: int = 1) -> DataFrame:
+def block_confidence(blocks: DataFrame, gen: int = 1, digits: int = 4) -> DataFrame:
     """Parser confidence per block; low ones are noise regions, and ``needs_ocr`` follows the second rule set."""
     share = alnum_ratio("text")
     size = F.least(F.lit(1.0), F.length("text") / 1200.0)
     score = F.least(F.lit(1.0), 0.55 * size + 0.45 * share) if gen == 1 else share
-    return blocks.withColumn("confidence", rnd(clamp(score))).withColumn("noise_region", F.col("confidence") < 0.45)
+    return blocks.withColumn("confidence", rnd(clamp(score), digits)).withColumn("noise_region", F.col("confidence") < 0.45)
 
 
 def needs_ocr(scored: DataFrame, source: str = "source_id") -> DataFrame:
