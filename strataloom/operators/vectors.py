@@ -59,9 +59,16 @@ def hash_embed(df: DataFrame, key: str, text: str = "text", gen: int = 1, dim: i
 
 def densify(sparse: DataFrame, key: str, dim: int = DIMENSION) -> DataFrame:
     """Long form to ``key, vector`` arrays (at most ``dim`` cells per key)."""
-    cells = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
-    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return sparse.groupBy(key).agg(cells.alias("m")).select(key, full.alias("vector"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def scatter(buckets: pd.Series, weights: pd.Series) -> pd.Series:
+        rows = np.zeros((len(buckets), dim))
+        for i, (b, w) in enumerate(zip(buckets, weights, strict=True)):
+            rows[i, b] = w
+        return pd.Series(list(rows))
+
+    cells = F.collect_list(F.struct("bucket", "weight"))
+    return sparse.groupBy(key).agg(cells.alias("c")).select(key, scatter("c.bucket", "c.weight").alias("vector"))
 
 
 def dot(a, b) -> Column:
