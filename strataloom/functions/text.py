@@ -13,7 +13,7 @@ SPACE = r"[ \t\n\r\f\x0B]"
 
 def strip(c) -> Column:
     """Trim all ASCII white space, not only blanks."""
-    return F.regexp_replace(as_col(c), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(as_col(c), F.lit(" \t\n\r\f\x0b"))
 
 
 def clean(c) -> Column:

@@ -93,7 +93,7 @@ def quality_metrics(status: DataFrame, pages: DataFrame, accuracy: DataFrame) ->
 
 def by_source(ents: DataFrame, rels: DataFrame, chunks: DataFrame, source: str = "source_id") -> DataFrame:
     """Chunks, entities, relations and mean confidence per source."""
-    e = ents.groupBy(source).agg(F.count("*").alias("entities"), rnd(F.avg("confidence")).alias("mean_confidence"))
+    e = ents.groupBy(source).agg(F.count("*").alias("entities"), F.avg("confidence").alias("mean_confidence"))
     r = rels.groupBy(source).agg(F.count("*").alias("relations"))
     c = chunks.groupBy(source).agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"))
     return c.join(e, source, "full_outer").join(r, source, "full_outer").fillna(0, ["entities", "relations", "chunks", "words"])

@@ -55,6 +55,8 @@ def cell_text(df: DataFrame, c: str) -> Column:
     text = F.col(c)
     if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)):
         text = F.to_json(text)
+    elif not isinstance(df.schema[c].dataType, T.StringType):
+        return text.cast("string")
     return F.nullif(strip(text.cast("string")), F.lit(""))
 
 

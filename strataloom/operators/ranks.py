@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-SORT_LIMIT = 2_000_000
+SORT_LIMIT = 1_000_000
 
 
 def number(c: str) -> Column:
@@ -26,20 +26,23 @@ def number(c: str) -> Column:
 
 def _narrow(df: DataFrame, wanted: dict, box: dict) -> dict:
     """One aggregate over ``df``: sketch a bracket around each rank inside ``box``."""
-    exprs, keys = [], []
-    for (col, rank), (low, high, below, inside) in box.items():
+    # Ranks that share a bracket share one sketch.
+    shared: dict[tuple, list[int]] = {}
+    for (col, rank), bounds in box.items():
+        shared.setdefault((col, bounds), []).append(rank)
+    eps = 2.0 / ACCURACY
+    exprs, asked = [], []
+    for (col, (low, high, below, inside)), ranks in shared.items():
         v = number(col)
-        in_box = F.when((v >= low) & (v <= high), v)
-        at = (rank - below + 0.5) / max(1, inside)
-        eps = 2.0 / ACCURACY
-        exprs.append(
-            F.percentile_approx(
-                in_box, [max(0.0, at - eps), min(1.0, at + eps)], ACCURACY
-            ).alias(f"b{len(keys)}")
-        )
-        keys.append((col, rank))
+        points = []
+        for rank in ranks:
+            at = (rank - below + 0.5) / max(1, inside)
+            points += [max(0.0, at - eps), min(1.0, at + eps)]
+        exprs.append(F.percentile_approx(F.when((v >= low) & (v <= high), v), points, ACCURACY).alias(f"b{len(asked)}"))
+        asked.append((col, ranks))
     row = df.agg(*exprs).first()
-    edges = {key: tuple(row[i]) for i, key in enumerate(keys)}
+    edges = {(col, r): tuple(row[i][2 * j:2 * j + 2]) for i, (col, ranks) in enumerate(asked) for j, r in enumerate(ranks)}
+    keys = list(box)
     counts = []
     for i, (col, rank) in enumerate(keys):
         low, high = edges[(col, rank)]
@@ -81,20 +84,24 @@ def order_statistics(
         if tighter == wide:
             break
         box.update(tighter)
-    # Brackets shared by several ranks are read once.
-    groups: dict[tuple, list[int]] = {}
-    for (col, rank), (low, high, below, _) in box.items():
-        groups.setdefault((col, low, high, below), []).append(rank)
-    wanted, cells = [], []
-    for gid, ((col, low, high, below), rs) in enumerate(groups.items()):
-        v = number(col)
-        cells.append(
-            F.when(
-                (v >= low) & (v <= high),
-                F.struct(F.lit(gid).alias("gid"), v.alias("value")),
-            )
-        )
-        wanted += [(gid, col, r, r - below) for r in rs]
+    # Overlapping brackets of a column are merged, so a value is tested once per column.
+    merged: dict[str, list[list]] = {}
+    for (col, rank), (low, high, below, _) in sorted(box.items(), key=lambda kv: (kv[0][0], kv[1][0])):
+        runs = merged.setdefault(col, [])
+        if runs and low <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], high)
+            runs[-1][3].append(rank)
+        else:
+            runs.append([low, high, below, [rank]])
+    wanted, cells, gid = [], [], 0
+    for col, runs in merged.items():
+        v, cell = number(col), None
+        for low, high, below, rs in runs:
+            test, hit = (v >= low) & (v <= high), F.struct(F.lit(gid).alias("gid"), v.alias("value"))
+            cell = F.when(test, hit) if cell is None else cell.when(test, hit)
+            wanted += [(gid, col, r, r - below) for r in rs]
+            gid += 1
+        cells.append(cell)
     values = (
         df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
         .groupBy("cell.gid", "cell.value")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,49 +15,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.functions.numeric import as_col, clamp
-from strataloom.functions.text import token_list, tokens, words
+from strataloom.functions.text import tokens
 
 DIMENSION = 384
 QUERY_BLOCK_BYTES = 64 << 20
 
 
-def token_digest(token) -> Column:
-    return F.sha2(F.encode(as_col(token), "UTF-8"), 256)
+# What counts as a word: runs without ASCII white space (rule set 1), letters and digits (rule set 2).
+WORD = {1: re.compile(r"[^ \t\n\r\f\x0b]+"), 2: re.compile(r"[a-z0-9]+")}
 
 
-def hash_buckets(digest, gen: int = 1, dim: int = DIMENSION) -> Column:
-    """Array of (bucket, weight) of a token from its SHA-256 digest column."""
-    digest = as_col(digest)
+def _hash_vector(text: str, gen: int, dim: int) -> np.ndarray:
+    """Unit vector of one lower-case text from the SHA-256 digests of its words."""
+    counts = Counter(WORD[gen].findall(text))
+    if not counts:
+        return np.zeros(dim)
+    digests = [hashlib.sha256(w.encode()).digest() for w in counts]
+    copies = np.fromiter(counts.values(), dtype=np.float64)
     if gen == 1:
-        # 16 two-byte words; the low bit of the first byte is the sign.
-        halves = F.transform(
-            F.sequence(F.lit(1), F.lit(61), F.lit(4)), lambda i: F.conv(F.substr(digest, i, F.lit(4)), 16, 10).cast("int")
-        )
-        sign = lambda v: F.when(F.shiftright(v, 8).bitwiseAND(F.lit(1)) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.transform(halves, lambda v: F.struct((v % dim).alias("bucket"), sign(v).alias("weight")))
-    # The whole digest modulo dim, folded over eight 32-bit groups.
-    part = lambda i: F.conv(F.substr(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    folded = F.aggregate(
-        F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda acc, i: (acc * F.lit((1 << 32) % dim) + part(i) % dim) % dim
-    )
-    return F.array(F.struct(folded.cast("int").alias("bucket"), F.lit(1.0).alias("weight")))
+        # 16 two-byte numbers per digest; the low bit of the first byte is the sign.
+        pairs = np.frombuffer(b"".join(digests), dtype=">u2").reshape(-1, 16).astype(np.int64)
+        signs = np.where((pairs >> 8) & 1, 1.0, -1.0) * copies[:, None]
+        out = np.bincount((pairs % dim).ravel(), weights=signs.ravel(), minlength=dim)
+    else:
+        out = np.bincount([int.from_bytes(d) % dim for d in digests], weights=copies, minlength=dim)
+    norm = np.sqrt(out @ out)
+    return out / norm if norm > 0 else out
 
 
-def hash_embed(df: DataFrame, key: str, text: str = "text", gen: int = 1, dim: int = DIMENSION) -> DataFrame:
-    """Sparse unit vectors in long form: ``key, bucket, weight``.
+def hash_vectors(df: DataFrame, key: str, text: str = "text", gen: int = 1, dim: int = DIMENSION) -> DataFrame:
+    """Dense unit vectors ``key, vector``.
 
-    Tokens are counted per text first, so a repeated token is hashed once and
-    at most ``dim`` rows per text leave the aggregate.
+    A text is embedded inside its row by an Arrow-batched function: spelled out
+    as rows, each word would give 16 of them and two shuffles for the same sum.
     """
-    pieces = words(F.lower(F.col(text))) if gen == 1 else token_list(text, "[a-z0-9]+")
-    counted = df.select(key, F.explode(pieces).alias("token")).groupBy(key, "token").agg(F.count("*").alias("copies"))
-    hashed = counted.select(key, "copies", token_digest("token").alias("digest"))
-    spread = hashed.select(key, "copies", F.explode(hash_buckets("digest", gen, dim)).alias("h"))
-    sums = spread.groupBy(key, "h.bucket").agg(F.sum(F.col("h.weight") * F.col("copies")).alias("w")).where("w <> 0")
-    cells = sums.groupBy(key).agg(F.collect_list(F.struct("bucket", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return cells.select(key, F.explode("cells").alias("c"), "norm").select(
-        key, "c.bucket", (F.col("c.w") / F.col("norm")).alias("weight")
-    )
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _hash_vector(t, gen, dim))
+
+    # Marked so that later filters on the vector do not run the embedding again.
+    return df.select(key, embed.asNondeterministic()(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("vector"))
+
+
+def hash_embed(df: DataFrame, key: str, text: str = "text", gen: int = 1, dim: int = DIMENSION) -> DataFrame:
+    """Sparse unit vectors in long form: ``key, bucket, weight``."""
+    return sparsify(hash_vectors(df, key, text, gen, dim), key)
+
+
+def sparsify(dense: DataFrame, key: str) -> DataFrame:
+    """Dense ``key, vector`` to long form without zeros."""
+    return dense.select(key, F.posexplode("vector").alias("bucket", "weight")).where("weight <> 0")
 
 
 def densify(sparse: DataFrame, key: str, dim: int = DIMENSION) -> DataFrame:
@@ -89,7 +100,8 @@ def sparse_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key:
     """Dot product of unit sparse vectors for given candidate pairs only."""
     lv = left.select(F.col(left.columns[0]).alias(left_key), "bucket", F.col("weight").alias("lw"))
     rv = right.select(F.col(right.columns[0]).alias(right_key), "bucket", F.col("weight").alias("rw"))
-    hits = pairs.select(left_key, right_key).join(lv, left_key).join(rv, [right_key, "bucket"])
+    # The right side holds the short texts: it widens the pairs first, the left side only filters.
+    hits = pairs.select(left_key, right_key).join(rv, right_key).join(lv, [left_key, "bucket"])
     dots = hits.groupBy(left_key, right_key).agg(F.sum(F.col("lw") * F.col("rw")).alias("dot"))
     return pairs.join(dots, [left_key, right_key], "left").withColumn("dot", F.coalesce("dot", F.lit(0.0)))
 
@@ -225,21 +237,27 @@ def set_pairs(left: DataFrame, right: DataFrame, threshold: float, measure: str
         keep = (F.col("n") - F.ceil(shared(F.col("other")) - 1e-6) + 1).cast("int")
         own = _size_class(F.col("n"))
         return spread.where(keep > 0).select(
-            F.col("set_id").alias(f"{side}_set"), own.alias("own"), "other", F.explode(F.slice("ranked", 1, keep)).alias("token")
+            F.col("set_id").alias(f"{side}_set"), F.col("n").alias(f"{side}_n"), own.alias("own"), "other", F.posexplode(F.slice("ranked", 1, keep)).alias(f"{side}_pos", "token")
         )
 
     ranked_l, ranked_r = _ranked(lefts, freq), _ranked(rights, freq)
+    ln, rn = F.col("left_n").cast("double"), F.col("right_n").cast("double")
     if measure == "jaccard":
         near = F.sequence(_size_class(F.ceil(t * n - 1e-9)), _size_class(F.floor(n / t + 1e-9)))
         shared = lambda c: t / (1.0 + t) * (n + _class_floor(c))
         a = index(ranked_l, "left", near, shared).withColumnsRenamed({"own": "lc", "other": "rc"})
         b = index(ranked_r, "right", near, shared).withColumnsRenamed({"own": "rc", "other": "lc"})
         found = a.join(b, ["token", "lc", "rc"])
+        need = t / (1.0 + t) * (ln + rn)
     else:
         a = index(ranked_l, "left", F.array(_size_class(F.col("n"))), lambda c: t * n).withColumnRenamed("own", "lc").drop("other")
         reach = F.sequence(F.lit(1), _size_class(F.floor(n / t + 1e-9)))
         b = index(ranked_r, "right", reach, lambda c: t * _class_floor(c)).withColumnRenamed("other", "lc").drop("own")
         found = a.join(b, ["token", "lc"])
+        need = t * ln
+    # On the first shared token nothing before it is shared: what is left on each side bounds the overlap.
+    left_over = 1 + F.least(F.col("left_n") - F.col("left_pos") - 1, F.col("right_n") - F.col("right_pos") - 1)
+    found = found.where(left_over >= need - 1e-6)
     pairs = found.select("left_set", "right_set").distinct()
     scored = (
         pairs.join(lefts.select(F.col("set_id").alias("left_set"), F.col("tokens").alias("lt")), "left_set")

@@ -254,11 +254,12 @@ def quality_metrics(spark, sf_dir):
 
 @query(
     "source_aggregates",
-    f"""WITH {scores.ES}, sa AS (SELECT source AS source_id, count(*) AS chunks FROM c GROUP BY 1), sb AS (SELECT source_id, count(*) AS entities, round(avg(confidence), 4) AS mean_confidence FROM es GROUP BY 1), g AS (SELECT src AS source_id, count(*) AS relations FROM r GROUP BY 1)
+    f"""WITH {scores.ES}, sa AS (SELECT source AS source_id, count(*) AS chunks FROM c GROUP BY 1), sb AS (SELECT source_id, count(*) AS entities, round(avg(confidence), 6) AS mean_confidence FROM es GROUP BY 1), g AS (SELECT src AS source_id, count(*) AS relations FROM r GROUP BY 1)
 SELECT source_id, chunks, coalesce(entities, 0) AS entities, mean_confidence, coalesce(relations, 0) AS relations FROM sa LEFT JOIN sb USING (source_id) LEFT JOIN g USING (source_id)""",
 )
 def source_aggregates(spark, sf_dir):
-    return dashboard.by_source(scores.entity_rows(spark, sf_dir), base.relations(spark, sf_dir), base.chunks(spark, sf_dir)).drop("words")
+    out = dashboard.by_source(scores.entity_rows(spark, sf_dir), base.relations(spark, sf_dir), base.chunks(spark, sf_dir))
+    return out.drop("words").withColumn("mean_confidence", rnd("mean_confidence", 6))
 
 
 @query("metrics_by_stage")

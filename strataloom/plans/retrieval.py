@@ -158,8 +158,8 @@ def relations_with_fallback(spark, sf_dir):
 def passage_hits(spark, sf_dir, k: int = 5):
     def make():
         chunks = chunking.chunk(load(spark, sf_dir, "documents")).withColumn("chunk_id", F.concat_ws("-", "doc_id", "idx"))
-        items = vectors.densify(vectors.hash_embed(chunks, "chunk_id"), "chunk_id")
-        asks = vectors.densify(vectors.hash_embed(prompts(spark, sf_dir), "prompt_id"), "prompt_id")
+        items = vectors.hash_vectors(chunks, "chunk_id")
+        asks = vectors.hash_vectors(prompts(spark, sf_dir), "prompt_id")
         found = vectors.top_k(asks, items, k, "prompt_id", "chunk_id")
         return found.join(chunks.select("chunk_id", "text"), "chunk_id")
 
@@ -185,7 +185,7 @@ def passage_coverage(spark, sf_dir):
 def profile_parts(spark, sf_dir):
     """System turns are the stored profiles, user turns the prompts."""
     c = load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    dense = vectors.densify(vectors.hash_embed(c, "key"), "key")
+    dense = vectors.hash_vectors(c, "key")
     rows = c.join(dense, "key")
     profs = rows.where("role = 'system'").select(
         F.col("key").alias("profile_id"), "vector", F.lit(1).cast("long").alias("usage"), F.concat(F.lit("general-v"), "conv_id").alias("name"), F.lit("general").alias("domain")

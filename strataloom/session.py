@@ -30,8 +30,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "str
     )
 
 
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that is one short file.
+
+    A scan gives a task per file split, so a table of one row group would keep
+    a single core busy. Scans with at least as many splits as cores, the normal
+    case on a cluster, are left alone and pay no shuffle.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    splits = size // (8 << 20) + 1
+    return df.repartition(cores) if size > SPREAD_BYTES and splits < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
