@@ -260,24 +260,38 @@ def synonym_conflicts(nodes: DataFrame, more_than: int = 8, file: str = "source_
     return shared.groupBy(F.col("first_id").alias("canonical_id")).agg(F.count("*").alias("alias_count")).where(F.col("alias_count") > more_than)
 
 
-def _alias_sets(nodes: DataFrame, file: str) -> DataFrame:
-    names = nodes.select(F.col(file).alias("file"), F.lower(strip("alias")).alias("alias")).where("alias <> ''").distinct()
-    return names.groupBy("file").agg(F.array_sort(F.collect_set("alias")).alias("tokens")).withColumn("set_id", F.col("file").cast("string"))
+LARGE_FILE = 10_000
 
 
-def document_overlap(nodes: DataFrame, threshold: float = 0.1, file: str = "source_id") -> DataFrame:
+def _file_names(nodes: DataFrame, file: str) -> DataFrame:
+    return nodes.select(F.col(file).cast("string").alias("file"), F.lower(strip("alias")).alias("alias")).where("alias <> ''").distinct()
+
+
+def document_overlap(nodes: DataFrame, threshold: float = 0.1, file: str = "source_id", large: int = LARGE_FILE, more_than: int = 0) -> DataFrame:
     """File pairs where at least ``threshold`` of the first file's aliases are shared.
 
-    A containment join over alias sets (rare aliases index the files), so a
-    name in a third of the files does not pair them all up; files that share
-    less than the threshold, which no later step uses, are never formed.
+    Files of up to ``large`` aliases are compared as sets by a containment join
+    (rare aliases index them), so a name in a third of the files does not pair
+    them all up. A larger file is never gathered into a row: its aliases are
+    joined and counted, each alias meeting the few large files that hold it.
+    Files that share less than the threshold are never formed. ``more_than``
+    leaves out first files with that many aliases or fewer.
     """
-    sets = _alias_sets(nodes, file)
-    found = vectors.set_pairs(sets, sets, threshold, "containment").where("left_set <> right_set")
-    size = sets.select(F.col("set_id").alias("left_set"), F.size("tokens").alias("n"))
-    return found.join(size, "left_set").select(
-        F.col("left_set").alias("source_file"), F.col("right_set").alias("other_file"), F.round(F.col("score") * F.col("n")).cast("long").alias("shared_entity_count"), rnd("score").alias("overlap_ratio")
-    )
+    names = cut_lineage(_file_names(nodes, file))
+    sizes = names.groupBy("file").agg(F.count("*").alias("n"))
+    big = sizes.where(F.col("n") > large).select("file")
+    sets = names.join(big, "file", "left_anti").groupBy("file").agg(F.array_sort(F.collect_set("alias")).alias("tokens")).withColumnRenamed("file", "set_id")
+    firsts = sets.where(F.size("tokens") > more_than)
+    small = vectors.set_pairs(firsts, sets, threshold, "containment").where("left_set <> right_set").join(
+        sets.select(F.col("set_id").alias("left_set"), F.size("tokens").alias("n")), "left_set"
+    ).select(F.col("left_set").alias("source_file"), F.col("right_set").alias("other_file"), F.round(F.col("score") * F.col("n")).cast("long").alias("shared"), F.col("n").cast("long").alias("n"))
+    mine = names.join(big, "file", "left_semi").select(F.col("file").alias("big"), "alias")
+    met = mine.join(names.withColumnRenamed("file", "other"), "alias").where("big <> other").groupBy("big", "other").agg(F.count("*").alias("shared"))
+    forth = met.select(F.col("big").alias("source_file"), F.col("other").alias("other_file"), "shared")
+    back = met.join(big.withColumnRenamed("file", "other"), "other", "left_anti").select(F.col("other").alias("source_file"), F.col("big").alias("other_file"), "shared")
+    counted = forth.unionByName(back).join(sizes.withColumnRenamed("file", "source_file"), "source_file").where(F.col("n") > more_than)
+    out = small.unionByName(counted).withColumn("ratio", F.col("shared") / F.col("n")).where(F.col("ratio") >= threshold - 1e-12)
+    return out.select("source_file", "other_file", F.col("shared").alias("shared_entity_count"), rnd("ratio").alias("overlap_ratio"))
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,14 +308,13 @@ def clusters(nodes: DataFrame, threshold: float = 0.1, file: str = "source_id")
     makes the alias a hub that joins all its files; the pairs of larger files
     come from the containment join.
     """
-    names = nodes.select(F.col(file).cast("string").alias("file"), F.lower(strip("alias")).alias("alias")).where("alias <> ''").distinct()
+    names = _file_names(nodes, file)
     sizes = names.groupBy("file").agg(F.count("*").alias("n"))
-    small = names.join(sizes.where(F.col("n") * threshold <= 1.0), "file", "left_semi").select("alias").distinct()
+    few = int(1.0 / threshold + 1e-9)
+    small = names.join(sizes.where(F.col("n") <= few), "file", "left_semi").select("alias").distinct()
     hubs = names.join(small, "alias", "left_semi").select(F.col("file").alias("source"), F.concat(F.lit("alias:"), "alias").alias("target"))
-    large = sizes.where(F.col("n") * threshold > 1.0).select("file")
-    sets = _alias_sets(nodes, file).withColumn("file", F.col("file").cast("string"))
-    over = vectors.set_pairs(sets.join(large, "file", "left_semi"), sets, threshold, "containment").where("left_set <> right_set")
-    edges = hubs.unionByName(over.select(F.col("left_set").alias("source"), F.col("right_set").alias("target")))
+    over = document_overlap(nodes, threshold, file, more_than=few)
+    edges = hubs.unionByName(over.select(F.col("source_file").alias("source"), F.col("other_file").alias("target")))
     ids = names.select(F.col("file").alias("id")).distinct()
     labels = components(ids.unionByName(hubs.select(F.col("target").alias("id")).distinct()), edges).join(ids, "id", "left_semi")
     # The cluster is named by its smallest file, whatever hubs it holds.

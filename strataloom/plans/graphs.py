@@ -403,7 +403,14 @@ def violations(spark, sf_dir):
     return ontology.violations(edges, nodes.replace(RENAME, subset=["entity_type"]), strict_rules(spark), ontology.taxonomy(spark))
 
 
-@query("ontology_violations")
+VIOLATIONS = f"""WITH RECURSIVE {GRAPH}, tax AS ({ISA}), up(type, ancestor) AS (SELECT type, type FROM tax UNION SELECT up.type, tax.parent FROM up JOIN tax ON up.ancestor = tax.type WHERE tax.parent IS NOT NULL),
+rules(relation, s, t) AS (VALUES {RULES.replace("('related_to', 'ANY', 'ANY')", "('related_to', 'agent', 'agent'), ('related_to', 'concept', 'organization')")}), ok AS (SELECT DISTINCT relation, a.type AS s, b.type AS t FROM rules JOIN up a ON a.ancestor = rules.s JOIN up b ON b.ancestor = rules.t),
+x AS (SELECT e.source, e.target, e.relation, {TYPE2.format(c='a.entity_type')} AS st, {TYPE2.format(c='b.entity_type')} AS tt FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target)
+SELECT source, target, relation, CASE WHEN relation NOT IN (SELECT relation FROM rules) THEN 'unknown predicate' ELSE 'type-constraint violation' END AS reason FROM x
+WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.relation = x.relation AND ok.s = x.st AND ok.t = x.tt)"""
+
+
+@query("ontology_violations", VIOLATIONS)
 def ontology_violations(spark, sf_dir):
     return violations(spark, sf_dir)
 

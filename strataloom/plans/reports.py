@@ -74,7 +74,10 @@ def wiki_page_list(spark, sf_dir):
     return wiki.list_pages(page_rows(spark, sf_dir), "license").select("canonical_id", "title")
 
 
-@query("citation_coverage")
+@query(
+    "citation_coverage",
+    f"""WITH {GRAPH}, {ENDS}, k AS (SELECT id, least(40, count(*)) AS f FROM x GROUP BY 1) SELECT (SELECT count(*) FROM n) AS page_count, CAST(sum(f) AS BIGINT) AS facts_with_citations, CAST(sum(f) AS BIGINT) AS total_facts, 100.0::DOUBLE AS citation_coverage_pct FROM k""",
+)
 def citation_coverage(spark, sf_dir):
     return wiki.citation_coverage(page_rows(spark, sf_dir))
 
@@ -235,7 +238,12 @@ def status_rows(spark, sf_dir):
     return out.fillna(0, ["chunks", "entities", "relations"]).withColumn("file_id", F.col("doc_id").cast("string"))
 
 
-@query("ingestion_report")
+@query(
+    "ingestion_report",
+    f"""WITH {scores.REL_SQL}, sd AS (SELECT doc_id, n_chars >= 50 AS ok FROM documents)
+SELECT (SELECT count(*) FROM sd) AS total_files, (SELECT count(*) FROM sd WHERE ok) AS completed, (SELECT count(*) FROM sd WHERE NOT ok) AS failed, CAST(0 AS BIGINT) AS processing, (SELECT count(*) FROM c JOIN sd USING (doc_id) WHERE ok) AS total_chunks,
+  (SELECT count(*) FROM m JOIN sd USING (doc_id) WHERE ok) AS total_entities, (SELECT count(*) FROM r JOIN sd USING (doc_id) WHERE ok) AS total_relations, (SELECT count(*) - count(DISTINCT text) FROM documents) AS duplicates_detected""",
+)
 def ingestion_report(spark, sf_dir):
     return dashboard.ingestion_report(status_rows(spark, sf_dir))
 

@@ -17,7 +17,8 @@ from strataloom.sources import files
 ORDER = ["doc_id", "chunk_idx", "sentence", "i", "j"]
 
 # SQL twins of the scores.
-ES = f"""{relations_sql()}, d AS (SELECT source AS source_id, text, label, type, count(DISTINCT doc_id) AS docs FROM m GROUP BY 1, 2, 3, 4),
+REL_SQL = relations_sql()
+ES = f"""{REL_SQL}, d AS (SELECT source AS source_id, text, label, type, count(DISTINCT doc_id) AS docs FROM m GROUP BY 1, 2, 3, 4),
 d2 AS (SELECT *, lower(text) AS norm, CASE WHEN docs > 1 THEN 1 + least(3, docs) ELSE 1 END AS mentions, count(*) OVER (PARTITION BY source_id, lower(text)) AS same, length(regexp_replace(text, '[\\pL\\pN \\-_]', '', 'g')) AS odd FROM d),
 es AS (SELECT source_id, text, label, type, norm, mentions, CASE WHEN odd > greatest(1, length(text) // 3) THEN 0.25 ELSE 0.0 END::DOUBLE AS noisy_penalty,
   round(greatest(0.0, least(1.0, 0.35::DOUBLE * least(1.0, mentions / 4.0) + 0.35::DOUBLE * CASE WHEN length(text) >= 4 THEN 1.0 WHEN length(text) >= 2 THEN 0.6 WHEN length(text) >= 1 THEN 0.3 ELSE 0.0 END + 0.3::DOUBLE * CASE WHEN label = 'ENTITY' THEN 0.65 ELSE 0.85 END
@@ -297,7 +298,7 @@ def gold_bootstrap(spark, sf_dir):
     return evaluate.gold_bootstrap(edges, gold_edges, least=0.65)
 
 
-@query("gold_upsert_delete")
+@query("gold_upsert_delete", f"WITH {REL_SQL} SELECT DISTINCT text AS label, type FROM m WHERE type <> 'value'")
 def gold_upsert_delete(spark, sf_dir):
     """Gold entities of English documents, renewed by those of all documents, amounts deleted."""
     nodes, _, gold_nodes, _ = gold_parts(spark, sf_dir)

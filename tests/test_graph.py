@@ -215,3 +215,30 @@ def test_probability_bounds(spark):
     counts = [r["count"] for r in score.histogram(df).orderBy("bin_start").collect()]
     assert sum(counts) == 3 and counts[-1] == 2 and math.isclose(len(counts), 10)
     assert df.select(F.max("confidence")).first()[0] == 1.0
+
+
+@pytest.mark.parametrize("large", [10_000, 5, 0])
+def test_document_overlap_and_clusters(spark, large):
+    rng = random.Random(8)
+    files = {f"f{i}": {f"a{rng.randint(0, 60)}" for _ in range(rng.choice([1, 3, 12, 40]))} | ({"hot"} if i % 3 == 0 else set()) for i in range(14)}
+    rows = spark.createDataFrame([(f, a, f"id-{a}") for f, names in files.items() for a in names], "source_id string, alias string, canonical_id string")
+    got = {(r["source_file"], r["other_file"]): r["shared_entity_count"] for r in link.document_overlap(rows, 0.3, large=large).collect()}
+    want = {(a, b): len(files[a] & files[b]) for a in files for b in files if a != b and len(files[a] & files[b]) / len(files[a]) >= 0.3}
+    assert got == want
+    if large:
+        return
+    parent = {f: f for f in files}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in want:
+        ra, rb = sorted((find(a), find(b)))
+        parent[rb] = ra
+    groups = {}
+    for f in files:
+        groups.setdefault(find(f), set()).add(f)
+    clustered = {}
+    for r in link.clusters(rows, 0.3).collect():
+        clustered.setdefault(r["cluster"], set()).add(r["file"])
+    assert sorted(map(sorted, clustered.values())) == sorted(map(sorted, groups.values()))
