@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.functions.numeric import count_if, ratio, rnd
+from strataloom.functions.numeric import count_if, rnd
 from strataloom.operators.profile import side_by_side
 
 SCORES = ("overall_kg_quality_score", "confidence_score", "retrieval_readiness_score", "graph_trust_score")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.functions.ids import edge_key, entity_id, entity_id_2, norm_label_2, relation_id
-from strataloom.functions.numeric import clamp, count_if, first_match, ratio, rnd
+from strataloom.functions.ids import entity_id, norm_label_2, relation_id
+from strataloom.functions.numeric import clamp, count_if, ratio, rnd
 from strataloom.functions.text import norm_label, strip, tokens
 from strataloom.operators import vectors
 from strataloom.session import cut_lineage
@@ -338,8 +338,3 @@ def metrics(node_rows: DataFrame, alias_rows: DataFrame, review_rows: DataFrame
         ))
     return side_by_side(*parts).withColumn("avg_aliases_per_node", rnd(ratio("total_alias_count", F.greatest(F.lit(1), F.col("canonical_node_count"))), 2))
 
-
-__all__ = [
-    "aliases", "apply_reviews", "candidates", "check", "check_report", "decide", "edge_key", "edges", "entity_id_2", "first_match", "follow", "merge",
-    "merge_confidence", "metrics", "nodes", "provenance", "remap", "resolution_report", "resolve", "reviews", "score", "split_alias",
-]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.numeric import clamp, count_if, first_match, ratio, rnd
+from strataloom.functions.numeric import clamp, count_if, ratio, rnd
 from strataloom.operators.profile import side_by_side
 from strataloom.operators.timeseries import parse_datetime
 

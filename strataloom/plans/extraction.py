@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataloom.functions.numeric import rnd
 from strataloom.operators import chunking, extract
 from strataloom.plans.registry import query
 from strataloom.plans.text import chunks_sql

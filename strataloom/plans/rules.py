@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataloom.functions.numeric import rnd
 from strataloom.operators import joins, profile, stats, timeseries, validate
 from strataloom.plans.registry import COLUMNS, RELATIONAL, query, union_sql
 from strataloom.plans.tabular import _profile_sql, _with_facts, text_cell

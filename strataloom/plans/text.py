@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as ft
-from strataloom.functions.numeric import rnd
-from strataloom.operators import chunking, extract, profile
+from strataloom.operators import chunking, profile
 from strataloom.plans.registry import COLUMNS, query
 from strataloom.session import load
 from strataloom.sources import files, html, sinks
