@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe
+from strataloom.llm import byte_bpe, token_file
 from strataloom.llm.common import table
+from strataloom.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +19,13 @@ def query(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return plan
 
 
+@query
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "token-file")
+    token_file.write(table(spark, sf_dir, "documents"), folder)
+    return token_file.read(spark, folder, token_file.crc_batches, token_file.ddl(token_file.CRC))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_check(table(spark, sf_dir, "documents"))
