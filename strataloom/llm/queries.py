@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, decontaminate, token_file, toxicity
+from strataloom.llm import byte_bpe, decontaminate, secrets, token_file, toxicity
 from strataloom.llm.common import table
 from strataloom.session import work_folder
 
@@ -26,6 +26,11 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, folder, token_file.crc_batches, token_file.ddl(token_file.CRC))
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
