@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, decontaminate, secrets, token_file, toxicity
+from strataloom.llm import byte_bpe, chat, decontaminate, pii, secrets, token_file, toxicity
 from strataloom.llm.common import table
 from strataloom.session import work_folder
 
+EXAMPLE_KEY = b"an example key of the queries"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -46,4 +47,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_check(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is an example; a real one comes from where secrets are kept."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conflict = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", conflict), (-7, 1, "assistant", conflict)], own.schema)
+    return chat.round_trip(own.unionByName(more))
+
+
 SQL["op5_decontaminate"] = decontaminate.SQL
