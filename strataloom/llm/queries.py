@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, chat, decontaminate, pii, secrets, token_file, toxicity
+from strataloom.llm import byte_bpe, chat, decontaminate, ngram_join, pii, secrets, token_file, toxicity
 from strataloom.llm.common import table
 from strataloom.session import work_folder
 
@@ -47,6 +47,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_check(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key is an example; a real one comes from where secrets are kept."""
