@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, chat, decontaminate, ngram_join, pii, secrets, token_file, toxicity
+from strataloom.llm import byte_bpe, chat, decontaminate, ngram_join, pii, secrets, substring_dedup, token_file, toxicity
 from strataloom.llm.common import table
 from strataloom.session import work_folder
 
@@ -27,6 +27,11 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, folder, token_file.crc_batches, token_file.ddl(token_file.CRC))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
