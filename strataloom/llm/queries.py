@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, chat, decontaminate, ngram_join, pii, secrets, substring_dedup, token_file, toxicity
+from strataloom.llm import byte_bpe, chat, cover_tree, decontaminate, ngram_join, pii, secrets, substring_dedup, token_file, toxicity
 from strataloom.llm.common import table
 from strataloom.session import work_folder
 
@@ -47,6 +47,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_check(table(spark, sf_dir, "documents"))
