@@ -224,7 +224,7 @@ def encode_batches(path: str, pattern: str) -> Callable[[Batches], Batches]:
     return run
 
 
-def digest_batches(path: str, pattern: str) -> Callable[[Batches], Batches]:
+def digest_batches(path: str, pattern: str, with_ids: bool = False) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         own = encoder(path, pattern)
         decimal = [b"%d" % i for i in range(len(own.ranks.bytes_of))]
@@ -234,9 +234,9 @@ def digest_batches(path: str, pattern: str) -> Callable[[Batches], Batches]:
                 for doc, ids in zip(*columns(part, "doc_id", "ids"), strict=True):
                     ids = ids or b""
                     shown = b" ".join([decimal[i] for i in np.frombuffer(ids, "<u4").tolist()])
-                    yield doc, len(ids) // 4, hashlib.sha256(shown).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+                    yield doc, len(ids) // 4, hashlib.sha256(shown).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), *([ids] if with_ids else [])
 
-        yield from packed(rows(), DIGEST, lambda row: 150)
+        yield from packed(rows(), DIGEST.append(ENCODED.field("ids")) if with_ids else DIGEST, lambda row: 150 + 4 * row[1] * with_ids)
 
     return run
 
@@ -258,8 +258,10 @@ def digests(encoded: DataFrame, path: str | None = None, pattern: str = public_t
     return encoded.select("doc_id", "ids").mapInArrow(digest_batches(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_and_check(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """:func:`encode` and :func:`digests` in one crossing to Python."""
+def encode_and_check(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
+    """:func:`encode` and :func:`digests` in one crossing to Python; the ids themselves stand last ``with_ids``."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = chained(encode_batches(path, pattern), digest_batches(path, pattern))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    both = chained(encode_batches(path, pattern), digest_batches(path, pattern, with_ids))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    )

@@ -17,6 +17,7 @@ from strataloom.llm.common import row_key
 from strataloom.session import cut_lineage
 
 WINDOW = 10
+SENT = 1_000_000  # rows of an id and a hash that may be sent to all tasks
 BLOCK = 50_000  # windows that are sent to all tasks at a time, about 10 MB
 
 # Letters that are lowered, and what parts words.
@@ -80,7 +81,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, block: int =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key`` (hash of the text) for every row of ``docs(doc_id, text)``.
 
     ``items(item_id, text)`` with null or empty texts have no windows. A null
     document text has no words; rows with one id and different texts are told
@@ -104,10 +105,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block:
     )
     return rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["d"]) & (rows["key"] == per_doc["k"]), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "key",
     )
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item."""
+    hit = cut_lineage(decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct())
+    gone = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+    return docs.join(F.broadcast(hit) if hit.count() <= SENT else hit, gone, "left_anti")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

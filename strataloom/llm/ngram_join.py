@@ -213,7 +213,7 @@ def _edges(texts: DataFrame, owners: DataFrame, sent, size: int, percent: int, b
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, row`` (hash of the text) for every row of ``docs(doc_id, text)``.
 
     Two documents link when ``100 * intersection >= percent * union`` of their
     shingle sets. A null or empty text, or one without words, has no set, links
@@ -229,9 +229,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     sent = docs.sparkSession.sparkContext.broadcast(pa.compress(rarity.tobytes(), "zstd", asbytes=True))
     edges = _edges(texts, owners, sent, size, percent, bits)
     named = rows.where("n > 0").join(edges.withColumnsRenamed({"id": "cls", "component_id": "root"}), "cls", "left").select(
-        "doc_id", "n", F.coalesce("root", "cls").alias("root")
+        "doc_id", "row", "n", F.coalesce("root", "cls").alias("root")
     )
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
-        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row").unionByName(
+        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their component; those without words stay.
+
+    Repeated rows are one document and stay together.
+    """
+    dropped = cut_lineage(near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")))
+    gone = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_r"))
+    return docs.join(_sent(dropped), gone, "left_anti")

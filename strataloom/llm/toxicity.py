@@ -11,6 +11,7 @@ is scored whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -128,27 +129,36 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     return {w: float(v) for w, v in zip(chosen, weights, strict=False) if abs(v) > 1e-3}, float(weights[-1]) if members else -np.inf
 
 
+def _scorer(weights: dict[str, float], intercept: float) -> Callable[[str | None], float]:
+    known: dict[str, tuple[str, ...]] = {}
+
+    def score_of(text: str | None) -> float:
+        if len(known) > CACHED:
+            known.clear()
+        present: set[str] = set()
+        for word in words(text):
+            own = known.get(word)
+            if own is None:
+                own = known[word] = tuple(m for m in marks(word) if m in weights)
+            if own:
+                present.update(own)
+        z = intercept + sum(sorted(map(weights.__getitem__, present)))
+        return float(1 / (1 + np.exp(-max(-700.0, min(700.0, z)))))
+
+    return score_of
+
+
 def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row; a null or empty text has the score of no word."""
 
     def run(batches: Batches) -> Batches:
-        known: dict[str, tuple[str, ...]] = {}
+        score_of = _scorer(weights, intercept)
 
         def rows():
             for part in slices(batches):
-                if len(known) > CACHED:
-                    known.clear()
                 for doc, held, text in zip(*columns(part, "doc_id", "held_out", "text"), strict=True):
-                    present: set[str] = set()
-                    for word in words(text):
-                        own = known.get(word)
-                        if own is None:
-                            own = known[word] = tuple(m for m in marks(word) if m in weights)
-                        if own:
-                            present.update(own)
-                    z = intercept + sum(sorted(map(weights.__getitem__, present)))
-                    value = 1 / (1 + np.exp(-max(-700.0, min(700.0, z))))
-                    yield doc, held, float(value), int(value >= 0.5)
+                    value = score_of(text)
+                    yield doc, held, value, int(value >= 0.5)
 
         yield from packed(rows(), SCORED)
 
@@ -156,6 +166,18 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataF
     return docs.select(F.col("doc_id").cast("long"), held_out, F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic; row by row, without a shuffle."""
+    weights, intercept = learn(docs, labels, sample)
+
+    def run(batches: Batches) -> Batches:
+        score_of = _scorer(weights, intercept)
+        for part in slices(batches):
+            yield part.filter(pa.array([score_of(t) < 0.5 for t in part.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learn from ``labels`` and score all ``docs``; extra columns are not looked at, repeated rows are scored alike."""
     return score(docs, *learn(docs, labels, sample))
