@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import Batches, columns, packed, slices
+from strataloom.session import cut_lineage
 
 SAMPLE = 12_000  # labelled rows to learn from, in expectation
 FEATURES = 4_096  # words and beginnings a classifier may look at
-LEAST_TEXTS = 3  # texts of the sample that a feature must occur in
+LEAST_TEXTS = 5  # texts of the sample that a feature must occur in
+STRENGTH = 4.0  # standard deviations by which its share of toxic texts must differ from all texts'
 BEGINNINGS = (4, 5, 6, 7)  # letters of the word beginnings that are features too
 CACHED = 400_000  # words whose features a worker keeps
 MEMBERS = 3  # classifiers, each trained without one part of the sample
@@ -98,7 +100,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # about ``sample`` rows of an id and a flag: small enough to be sent to every task
     texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").groupBy(F.xxhash64("text").alias("key"), "toxic").agg(F.min("text").alias("text"))
-    found = texts.mapInArrow(_word_batches, "key long, toxic boolean, words array<string>").checkpoint()
+    found = texts.mapInArrow(_word_batches, "key long, toxic boolean, words array<string>")
+    found = cut_lineage(found)
     totals = found.groupBy("toxic").count().collect()
     n_toxic, n = sum(r["count"] for r in totals if r["toxic"]), sum(r["count"] for r in totals)
     if not n_toxic or n_toxic == n:
@@ -107,7 +110,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     expected = F.col("n") * (n_toxic / n)
     top = (
         counted.where(F.col("n") >= LEAST_TEXTS)
-        .select("word", (F.abs(F.col("p") - expected) / F.sqrt(expected)).alias("strength")).orderBy(F.desc("strength"), "word").limit(features)
+        .select("word", (F.abs(F.col("p") - expected) / F.sqrt(expected)).alias("strength")).where(F.col("strength") >= STRENGTH).orderBy(F.desc("strength"), "word").limit(features)
     )
     place = {r["word"]: k for k, r in enumerate(top.collect())}
     chosen = list(place)
@@ -143,6 +146,8 @@ def _scorer(weights: dict[str, float], intercept: float) -> Callable[[str | None
             if own:
                 present.update(own)
         z = intercept + sum(sorted(map(weights.__getitem__, present)))
+        if z == -np.inf:  # nothing was learned
+            return 0.0
         return float(1 / (1 + np.exp(-max(-700.0, min(700.0, z)))))
 
     return score_of
