@@ -273,7 +273,7 @@ def construct(nodes: DataFrame, accepted: DataFrame, names: DataFrame) -> tuple[
         ends = ends.join(names.select(F.col("text").alias(side), F.col("id").alias(f"{side}_node")), side, "left")
     fine = F.col("source_node").isNotNull() & F.col("target_node").isNotNull() & (F.col("source_node") != F.col("target_node"))
     edges = ends.where(fine).groupBy(F.col("source_node").alias("source"), F.col("target_node").alias("target"), "relation").agg(
-        F.first("confidence").alias("confidence"), F.min("action").alias("governance"), F.count_distinct("source_id").alias("sources"), F.count("*").alias("triples")
+        F.max("confidence").alias("confidence"), F.min("action").alias("governance"), F.count_distinct("source_id").alias("sources"), F.count("*").alias("triples")
     ).withColumn("edge_id", edge_key("source", "relation", "target")).withColumn("suppressed", F.lit(False))
     used = nodes.join(names.select("id").distinct(), "id", "left_semi")
     skipped = ends.where(~F.coalesce(fine, F.lit(False))).select("source", "target", "relation")

@@ -246,15 +246,15 @@ def merge_confidence(members: DataFrame) -> DataFrame:
     """Fold confidences of merged nodes in order: ``min(.98, .8 old + .2 new)``.
 
     ``members`` is ``canonical_id, order, confidence``. The fold is a weighted
-    sum (weights .8^k from the last member back), computed as an aggregate;
-    weights below 1e-12 cannot change the rounded result, so at most the last
-    124 members of a node count besides the first.
+    sum (weights .8^k from the last member back) over all members, computed as
+    an aggregate with positions that several tasks number.
     """
-    back = W.partitionBy("canonical_id").orderBy(F.desc("order"))
-    recent = members.withColumn("k", F.row_number().over(back) - 1).where("k < 124")
+    from strataloom.operators.ranks import row_index
+
     total = members.groupBy("canonical_id").agg(F.count("*").alias("members"))
     weight = F.when(F.col("k") == F.col("members") - 1, F.pow(F.lit(0.8), F.col("k"))).otherwise(0.2 * F.pow(F.lit(0.8), F.col("k")))
-    return recent.join(total, "canonical_id").groupBy("canonical_id", "members").agg(
+    placed = row_index(members, "order", by=["canonical_id"], name="nth").join(total, "canonical_id").withColumn("k", F.col("members") - 1 - F.col("nth"))
+    return placed.groupBy("canonical_id", "members").agg(
         rnd(F.least(F.lit(0.98), F.sum(weight * F.col("confidence")))).alias("confidence")
     )
 

@@ -23,6 +23,14 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _KEPT[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Free what :func:`kept` holds."""
+    for df in _KEPT.values():
+        df.unpersist()
+    _KEPT.clear()
+    spark.catalog.clearCache()
+
+
 def chunks(spark, sf_dir) -> DataFrame:
     docs = load(spark, sf_dir, "documents").withColumnRenamed("source", "source_id")
     return chunking.chunk(docs, keep=("source_id",))

@@ -331,9 +331,9 @@ def shape_buckets(spark, sf_dir):
 @query(
     "distribution_notes",
     f"""{SHAPES}, oc AS (SELECT f.col, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) + count(*) FILTER (abs((v - mean) / std) >= 3) AS o FROM cells JOIN facts f USING (col) GROUP BY 1),
-nt AS (SELECT col, 'Skewness Risk' AS title, 'high' AS severity, 0.89 AS confidence FROM sh WHERE abs(sk) >= 1 UNION ALL SELECT col, 'Heavy-Tail / Outlier Concentration', 'medium', 0.82 FROM sh JOIN oc USING (col) WHERE ku >= 1.5 OR o > 0
-UNION ALL SELECT col, 'Low Variability Signal', 'low', 0.80 FROM sh WHERE std / greatest(abs(mean), 0.0001) < 0.08 UNION ALL SELECT col, 'Tail Spread Alert', 'medium', 0.77 FROM sh WHERE p90 - p10 > greatest(0.0001, q3 - q1) * 1.8)
-SELECT col AS "column", title, severity, confidence::DOUBLE AS confidence FROM nt UNION ALL SELECT col, 'Model-Ready Distribution', 'low', 0.76::DOUBLE FROM sh WHERE col NOT IN (SELECT col FROM nt)""",
+nt AS (SELECT col, 'skewed' AS title, 'high' AS severity, 0.89 AS confidence FROM sh WHERE abs(sk) >= 1 UNION ALL SELECT col, 'heavy tails or outliers', 'medium', 0.82 FROM sh JOIN oc USING (col) WHERE ku >= 1.5 OR o > 0
+UNION ALL SELECT col, 'hardly varies', 'low', 0.80 FROM sh WHERE std / greatest(abs(mean), 0.0001) < 0.08 UNION ALL SELECT col, 'wide tails', 'medium', 0.77 FROM sh WHERE p90 - p10 > greatest(0.0001, q3 - q1) * 1.8)
+SELECT col AS "column", title, severity, confidence::DOUBLE AS confidence FROM nt UNION ALL SELECT col, 'nothing stands out', 'low', 0.76::DOUBLE FROM sh WHERE col NOT IN (SELECT col FROM nt)""",
 )
 def distribution_notes(spark, sf_dir):
     df = load(spark, sf_dir, "events")

@@ -49,19 +49,23 @@ def prompt_complexity(spark, sf_dir):
     return prompts(spark, sf_dir).select("prompt_id", retrieve.complexity("text").alias("complexity"))
 
 
-MODEL_ROWS = ", ".join(f"({i}, '{n}', {c}::DOUBLE, '{s}', {str('reasoning' in k).upper()})" for i, (n, c, s, k) in enumerate(retrieve.MODELS))
+# A made-up catalogue to rank: name, cost per 1000 tokens, speed, strengths.
+CATALOGUE = (
+    ("heron", 0.0008, "slow", ("reasoning",)), ("otter", 0.0002, "fast", ("summaries",)), ("finch", 0.004, "medium", ("tables", "reasoning")), ("badger", 0.0035, "fast", ()),
+)
+MODEL_ROWS = ", ".join(f"({i}, '{n}', {c}::DOUBLE, '{s}', {str('reasoning' in k).upper()})" for i, (n, c, s, k) in enumerate(CATALOGUE))
 
 
 @query(
     "model_ranking",
     f"""WITH {PROMPT_SQL}, c AS (SELECT prompt_id, len({words_sql()}) AS n, CASE WHEN regexp_matches(lower(text), 'code|script|implement|function') OR len({words_sql()}) > 100 THEN 'high' WHEN regexp_matches(lower(text), 'analyse|analyze|explain|compare|why') OR len({words_sql()}) > 35 THEN 'medium' ELSE 'low' END AS complexity FROM p),
 mo(i, model, cost, speed, reasoning) AS (VALUES {MODEL_ROWS}),
-s AS (SELECT *, round(greatest(0, least(100, 50 + CASE WHEN complexity = 'low' AND speed = 'fast' THEN 25 WHEN complexity = 'medium' THEN 20 WHEN complexity = 'high' AND reasoning THEN 25 ELSE 0 END + CASE WHEN speed = 'fast' THEN 5 ELSE 0 END - CASE WHEN complexity = 'low' AND cost > 0.003 THEN 20 ELSE 0 END)), 1)::DOUBLE AS score FROM c, mo)
+s AS (SELECT *, round(greatest(0, least(100, 50 + CASE WHEN complexity = 'low' AND speed = 'fast' THEN 25 WHEN complexity = 'medium' AND speed IN ('fast', 'medium') THEN 20 WHEN complexity = 'high' AND reasoning THEN 25 ELSE 0 END + CASE WHEN speed = 'fast' THEN 5 ELSE 0 END - CASE WHEN complexity = 'low' AND cost > 0.003 THEN 20 ELSE 0 END)), 1)::DOUBLE AS score FROM c, mo)
 SELECT prompt_id, complexity, model, score, round((800 + n * 1.3) / 1000 * cost, 5)::DOUBLE AS estimated_cost, CASE WHEN score >= 90 THEN 'Optimal choice' WHEN score >= 75 THEN 'Good alternative' WHEN score >= 60 THEN 'Viable option' ELSE 'Not recommended' END AS label,
   CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, i) AS INTEGER) AS place, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, i) = 1 AS chosen FROM s""",
 )
 def model_ranking(spark, sf_dir):
-    return retrieve.rank_models(prompts(spark, sf_dir))
+    return retrieve.rank_models(prompts(spark, sf_dir), CATALOGUE)
 
 
 @query(

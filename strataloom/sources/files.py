@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +20,11 @@ def extension(path: Column) -> Column:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as text, undecodable bytes replaced: ``source_id, text, bytes``."""
+    """Whole files as text, undecodable bytes left out: ``source_id, text, bytes``."""
+    raw = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.translate(F.make_valid_utf8(raw), "\ufffd", ""))
     return spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("source_id"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("bytes"),
+        F.col("path").alias("source_id"), text.alias("text"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("fingerprint"),
     )
 
@@ -45,23 +49,53 @@ def json_shape(texts: DataFrame) -> DataFrame:
     )
 
 
+def _blocks(df: DataFrame, fmt: str) -> DataFrame:
+    return df.select(
+        F.input_file_name().alias("source_id"), F.lit(fmt).alias("source_type"),
+        F.sha1(F.to_json(F.struct(*df.columns))).alias("block_id"), F.lit("row").alias("kind"), row_text(df).alias("text"),
+    )
+
+
+def _json_blocks(texts: DataFrame) -> DataFrame:
+    """A file that holds a non-empty array of objects gives a block per object, any other its text."""
+    shaped = json_shape(texts)
+    items = F.from_json("text", T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+    pairs = F.transform(F.map_entries("item"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    rows = shaped.where("as_table").select("source_id", F.explode(items).alias("item")).select(
+        "source_id", F.sha1(F.to_json("item")).alias("block_id"), F.lit("row").alias("kind"), F.array_join(pairs, "; ").alias("text")
+    )
+    rest = shaped.where("NOT as_table").select("source_id", F.lit("0").alias("block_id"), F.lit("text").alias("kind"), "text")
+    return rows.unionByName(rest).select("source_id", F.lit("json").alias("source_type"), "block_id", "kind", "text")
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Corpus blocks ``source_id, source_type, block_id, kind, text`` by extension.
+    """Corpus blocks ``source_id, source_type, block_id, kind, text``, each file of ``path`` by its extension (all by ``fmt`` if given).
 
     Tables give one block per row, everything else one block per file. A table
-    reader that finds no columns falls back to the text scan.
+    reader that finds no columns falls back to the text scan. Only the set of
+    extensions reaches the driver.
     """
-    fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
-    if fmt in TABLE_FORMATS:
-        df = {"csv": read_csv, "json": read_json}.get(fmt, lambda s, p: s.read.format(fmt).load(p))(spark, path)
-        if df.columns and "_corrupt_record" not in df.columns:
-            return df.select(
-                F.input_file_name().alias("source_id"), F.lit(fmt).alias("source_type"),
-                F.sha1(F.to_json(F.struct(*df.columns))).alias("block_id"), F.lit("row").alias("kind"), row_text(df).alias("text"),
-            )
-    return read_text(spark, path).select(
-        "source_id", extension(F.col("source_id")).alias("source_type"), F.lit("0").alias("block_id"), F.lit("text").alias("kind"), "text"
-    )
+    listed = spark.read.format("binaryFile").load(path).select(extension(F.col("path")).alias("kind")).distinct()
+    kinds = [fmt.lower()] if fmt else sorted(r["kind"] for r in listed.collect())
+    parts, read_as_text = [], []
+    for kind in kinds:
+        files = spark.read.option("pathGlobFilter", f"*.{kind}" if not fmt and kind else "*")
+        if kind == "json":
+            parts.append(_json_blocks(read_text(spark, path).where(F.lit(fmt is not None) | (extension(F.col("source_id")) == kind))))
+        elif kind in TABLE_FORMATS:
+            df = files.option("header", True).option("inferSchema", True).csv(path) if kind == "csv" else files.format(kind).load(path)
+            if df.columns and "_corrupt_record" not in df.columns:
+                parts.append(_blocks(df, kind))
+            else:
+                read_as_text.append(kind)
+        else:
+            read_as_text.append(kind)
+    if read_as_text:
+        texts = read_text(spark, path).withColumn("source_type", extension(F.col("source_id"))).where(F.lit(fmt is not None) | F.col("source_type").isin(read_as_text))
+        parts.append(texts.select("source_id", "source_type", F.lit("0").alias("block_id"), F.lit("text").alias("kind"), "text"))
+    if not parts:
+        raise ValueError(f"no files in {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def cell_type(df: DataFrame, c: str) -> Column:

@@ -104,9 +104,14 @@ def memory(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id") -> S
     return _start(counts, each, checkpoint, "update")
 
 
-def daily_counts(events: DataFrame, stamp: str, out: str, checkpoint: str, delay: str = "1 day", by=()) -> StreamingQuery:
-    """Events per day; late events count until the watermark passes the day."""
-    dated = events.withColumn("_at", F.col(stamp).cast("timestamp")).withWatermark("_at", delay)
+def daily_counts(events: DataFrame, stamp: str, out: str, checkpoint: str, delay: str | None = None, by=()) -> StreamingQuery:
+    """Events per day. The state is one count per day and key, and no event is too late.
+
+    With a ``delay`` days are closed, and their state is freed, once the
+    watermark passes them; later events are then left out.
+    """
+    dated = events.withColumn("_at", F.col(stamp).cast("timestamp"))
+    dated = dated.withWatermark("_at", delay) if delay else dated
     counts = dated.groupBy(F.window("_at", "1 day").alias("w"), *by).agg(F.count("*").alias("count"))
     rows = counts.select(F.to_date("w.start").alias("date"), *by, "count")
 

@@ -242,3 +242,23 @@ def test_document_overlap_and_clusters(spark, large):
     for r in link.clusters(rows, 0.3).collect():
         clustered.setdefault(r["cluster"], set()).add(r["file"])
     assert sorted(map(sorted, clustered.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_long_folds_keep_all(spark):
+    """More members and prompts than the old limits of 124 and 512."""
+    values = [0.2 + (k % 7) / 10 for k in range(700)]
+    fold = values[0]
+    for v in values[1:]:
+        fold = min(0.98, 0.8 * fold + 0.2 * v)
+    df = spark.createDataFrame([("x", k, v) for k, v in enumerate(values)], "canonical_id string, order long, confidence double")
+    assert resolve.merge_confidence(df).first()["confidence"] == pytest.approx(round(fold, 4), abs=1e-4)
+    vectors = [[1.0, k / 700] for k in range(700)]
+    prompts = spark.createDataFrame([(k, k, v, "a text") for k, v in enumerate(vectors)], "prompt_id long, at long, vector array<double>, text string")
+    matches = spark.createDataFrame([(k, "p", 60.0, "modify") for k in range(700)], "prompt_id long, profile_id string, match_score double, decision string")
+    profiles = spark.createDataFrame([("p", [0.0, 1.0], 1, "n", "d")], "profile_id string, vector array<double>, usage long, name string, domain string")
+    x, y = 0.0, 1.0
+    for a, b in vectors:
+        x, y = 0.7 * x + 0.3 * a, 0.7 * y + 0.3 * b
+        x, y = x / (x * x + y * y) ** 0.5, y / (x * x + y * y) ** 0.5
+    got = retrieve.apply_match(matches, prompts, profiles, "at").first()
+    assert got["usage"] == 701 and got["vector"] == pytest.approx([x, y])

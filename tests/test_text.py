@@ -83,3 +83,23 @@ def test_memory_adds_up(spark):
     again = {r["term"]: (r["observations"], r["prior"]) for r in extract.update_memory(first, rows).collect()}
     assert again == {"acme": (4, 0.7), "bob": (2, 0.6)}
     assert first.where(F.col("term") == "acme").first()["prior"] == 0.6
+
+
+def test_mixed_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.json").write_text('{"a": 1, "b": {"c": 2}}')
+    (tmp_path / "c.json").write_text('[{"a": 1, "b": "x"}, {"a": 2}]')
+    (tmp_path / "d.txt").write_bytes(b"ok \xff bad")
+    rows = files.read_corpus(spark, str(tmp_path)).select("source_type", "kind", "text").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("csv", "row", "x=1; y=2"), ("json", "row", "a=1; b=x"), ("json", "row", "a=2"), ("json", "text", '{"a": 1, "b": {"c": 2}}'), ("txt", "text", "ok  bad"),
+    ]
+
+
+def test_second_rule_set_pairs_whole_sentences(spark):
+    text = "Anna Berg met Carl Dorn and Eva Frank and Gus Holt and Ida Jung and Kim Lund."
+    chunks = spark.createDataFrame([(1, 0, text)], "doc_id int, idx int, text string")
+    n = extract.entities(chunks, gen=2).count()
+    assert n > 4
+    assert extract.relations(chunks, gen=2).count() == n * (n - 1) // 2
+    assert extract.relations(chunks, gen=2, reach=1).count() == n - 1
