@@ -26,7 +26,7 @@ from strataloom.llm.common import Batches, chained, columns, packed, slices
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-CACHED = 400_000
+CACHED = 150_000  # pieces and chunks that a worker keeps, each; workers live on beside later stages
 
 
 class Ranks:
@@ -63,7 +63,7 @@ class Ranks:
 
     def beside(self, left: int, right: int) -> bool:
         """Whether ``left, right`` is itself the encoding of the bytes of both."""
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         found = self.known[left << 32 | right] = self._check(left, right)
         return found
