@@ -7,8 +7,8 @@ that holds in every one of several orders: one by rarity, which keeps common
 shingles out of the prefixes and alone makes pairs, and two by hash.
 
 Equal sets are one class from the start. The classes of a prefix shingle first
-meet the smallest of them; pairs already in one component are not looked at
-again, so a large group of near copies costs a star and not all its pairs.
+meet a leader; pairs already in one component are not looked at again, so a
+large group of near copies costs a few stars and not all its pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ from strataloom.session import cut_lineage
 SHINGLE = 5
 PERCENT = 80
 BITS = 25  # cells of the rarity sketch: 32 MB as levels
+STARS = 2  # rounds of stars before all open pairs
+LEADERS = 3  # leaders that a class meets in a round of stars
+BLOCK = 50_000  # pairs of a block of comparisons, about
 SENT = 1_000_000  # class keys of at most about 40 bytes that may be sent to every task
 
 _digest = xxhash.xxh3_64_intdigest
@@ -138,8 +141,12 @@ def _set_batches(size: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def _verify_batches(percent: int) -> Callable[[Batches], Batches]:
-    """Keeps the pairs that share a prefix shingle in the hash orders, up and down, and then are as similar as asked."""
+def _verify(percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The pairs of one block that are similar; a pair that others of the block connect already is not compared.
+
+    A pair must share a prefix shingle in the hash orders, up and down, before
+    it is compared in full.
+    """
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
         p, q = prefix(len(x), percent), prefix(len(y), percent)
@@ -149,14 +156,22 @@ def _verify_batches(percent: int) -> Callable[[Batches], Batches]:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def run(batches: Batches) -> Batches:
-        def rows():
-            for part in slices(batches):
-                for a, b, x, y in zip(*columns(part, "a", "b", "x", "y"), strict=True):
-                    if similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")):
-                        yield a, b
+    def run(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        sets = {c: np.frombuffer(t, "<u8") for c, t in zip(*columns(members, "cls", "tokens"), strict=True)}
+        parent = {c: c for c in sets}
 
-        yield from packed(rows(), PAIRS)
+        def root(c: bytes) -> bytes:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        found = []
+        for a, b in zip(*columns(pairs, "a", "b"), strict=True):
+            u, v = root(a), root(b)
+            if u != v and similar(sets[a], sets[b]):
+                parent[u] = v
+                found.append((a, b))
+        return pa.table([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], schema=PAIRS)
 
     return run
 
@@ -167,48 +182,74 @@ def _sent(small: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
-    """The similar ones of ``pairs(a, b)``; sets are made anew from one text of each class that a pair names."""
+    """Of ``pairs(a, b, token)``, similar ones that connect what all similar ones connect.
+
+    Pairs meet the sets of their classes in blocks: those made by one shingle,
+    and where these are many, by the hashes of both sides. So a set moves once
+    per block and not once per pair. Sets are made anew from one text of each
+    class that a pair names.
+    """
+    pairs = cut_lineage(pairs)
     named = cut_lineage(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
     wanted = cut_lineage(owners.join(named, owners["cls"] == named["a"], "left_semi"))
     found = texts.join(_sent(wanted), texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["row"] == wanted["row"])).select("cls", "text")
-    sets = cut_lineage(found.mapInArrow(_set_batches(size), "cls binary, n int, tokens binary"))
-    left, right = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    return cut_lineage(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify_batches(percent), "a binary, b binary").distinct())
+    sets = cut_lineage(found.mapInArrow(_set_batches(size), "cls binary, n int, tokens binary")).dropDuplicates(["cls"]).select("cls", "tokens")
+    parts = pairs.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / F.lit(BLOCK)))).cast("long").alias("parts"))
+    dealt = pairs.join(parts, "token").select("token", *(F.pmod(F.xxhash64(side), "parts").alias(f"of_{side}") for side in "ab"), "a", "b")
+    block = ["token", "of_a", "of_b"]
+    own = [f"own_{name}" for name in block]
+    members = dealt.select(*(F.col(x).alias(y) for x, y in zip(block, own, strict=True)), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+    return cut_lineage(dealt.groupBy(*block).cogroup(members.groupBy(*own)).applyInArrow(_verify(percent), "a binary, b binary"))
 
 
 def _candidate_groups(texts: DataFrame, sent, size: int, percent: int, bits: int) -> DataFrame:
-    """The prefix shingles that several classes share: ``token, cls, n, at, first, lead``.
-
-    ``first`` marks the rows that may stand for the smaller set of a pair,
-    ``lead`` is the smallest class among them.
-    """
+    """The prefix shingles that several classes share: ``token, cls, n, at, first``; ``first`` marks what may be the smaller set of a pair."""
     postings = texts.select("text").mapInArrow(_posting_batches(size, bits, percent, sent), "token long, cls binary, n int, at int")
     together = Window.partitionBy("token")
     first = F.expr(f"at < n + 1 - ((2L * {percent} * n + {99 + percent}) div {100 + percent})")
     return cut_lineage(
         postings.repartition("token").dropDuplicates(["token", "cls"]).withColumn("first", first)
-        .withColumn("several", F.count("*").over(together)).withColumn("lead", F.min(F.when(F.col("first"), F.struct("n", "cls"))).over(together))
-        .where("several > 1 AND lead IS NOT NULL").drop("several")
+        .withColumn("several", F.count("*").over(together)).withColumn("any", F.max("first").over(together))
+        .where("several > 1 AND any").drop("several", "any")
     )
 
 
+def _labelled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Groups with the component ``root`` of each class, without shingles all of whose classes are in one."""
+    if known is None:
+        return groups.withColumn("root", F.col("cls"))
+    together = Window.partitionBy("token")
+    named = groups.join(known.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component_id", "cls")).drop("component_id")
+    return named.withColumn("low", F.min("root").over(together)).withColumn("high", F.max("root").over(together)).where("low <> high").drop("low", "high")
+
+
+def _star(groups: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a class with leaders of its shingles, each shingle's drawn by a hash: the ``LEADERS`` it shares most with."""
+    lead = F.min(F.when(F.col("first"), F.struct(F.xxhash64("cls", "token", F.lit(turn)).alias("drawn"), "cls", "n", "root"))).over(Window.partitionBy("token"))
+    met = groups.withColumn("lead", lead).where("lead.root <> root").where(f"100L * least(n, lead.n) >= {percent}L * greatest(n, lead.n)").where("lead.n <= n OR first")
+    shared = met.groupBy("cls", F.col("lead.cls").alias("other")).agg(F.count("*").alias("shared"), F.min("token").alias("token"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("shared"), "other"))
+    return shared.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("other").alias("a"), F.col("cls").alias("b"), "token")
+
+
 def _edges(texts: DataFrame, owners: DataFrame, sent, size: int, percent: int, bits: int) -> DataFrame:
-    """Components ``id, component_id`` of the classes that link with another."""
+    """Components ``id, component_id`` of the classes that link with another.
+
+    Rounds of stars connect what is easily connected; then all pairs that are
+    still in different components are compared.
+    """
     groups = _candidate_groups(texts, sent, size, percent, bits)
-    star = groups.where((F.col("lead.cls") != F.col("cls")) & (F.col("lead.n") <= F.col("n")) & (100 * F.col("lead.n") >= percent * F.col("n")))
-    shared = star.groupBy("cls", "lead").agg(F.count("*").alias("shared"))
-    nearest = shared.groupBy("cls").agg(F.max(F.struct("shared", "lead")).alias("best"))
-    near = _verified(cut_lineage(nearest.select(F.col("best.lead.cls").alias("a"), F.col("cls").alias("b"))), texts, owners, size, percent)
-    known = linked(near)
-    labelled = groups.drop("lead").join(known.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component_id", "cls")).drop("component_id")
-    together = Window.partitionBy("token")
-    open_ = labelled.withColumn("low", F.min("root").over(together)).withColumn("high", F.max("root").over(together)).where("low <> high").drop("low", "high")
-    open_ = cut_lineage(open_)
+    near, known = None, None
+    for turn in range(STARS):
+        some = _verified(_star(_labelled(groups, known), turn, percent), texts, owners, size, percent)
+        near = some if near is None else near.unionByName(some)
+        known = linked(near)
+    open_ = cut_lineage(_labelled(groups, known))
     x, y = open_.where("first").alias("x"), open_.alias("y")
     smaller = F.expr("x.n < y.n OR (x.n = y.n AND x.cls < y.cls)")
     room = F.expr(f"least(x.n - x.at, y.n - y.at) * {100 + percent}L >= {percent}L * (x.n + y.n)")  # positional bound
     met = x.join(y, F.expr(f"x.token = y.token AND x.root <> y.root AND 100L * x.n >= {percent}L * y.n") & smaller & room)
-    pairs = cut_lineage(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+    pairs = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.min("x.token").alias("token"))
     return linked(near.unionByName(_verified(pairs, texts, owners, size, percent)))
 
 
