@@ -25,6 +25,18 @@ COLUMNS = {
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
 }
 RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+ALL_TABLES = (*RELATIONAL, "events")
+# The columns of COLUMNS that are numeric by type, for the SQL twins; plans read the types from the schema.
+NUMERIC = {
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
+    "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
+    "part": ["p_partkey", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    "events": ["event_id", "user_id", "value"],
+}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataloom.functions.numeric import rnd
 from strataloom.operators import correlation, dashboard, dictionary, extract, insights, link, profile, stats, wiki
 from strataloom.plans import base, graphs, rules, scores
 from strataloom.plans.graphs import GRAPH
-from strataloom.plans.registry import query
+from strataloom.plans.registry import ALL_TABLES, query
 from strataloom.plans.rules import CLASS_SQL, LABEL_SQL
 from strataloom.plans.tabular import _with_facts
 from strataloom.session import load
@@ -85,13 +86,16 @@ def citation_coverage(spark, sf_dir):
 # --- dictionary ----------------------------------------------------------------------------
 
 DICT_TABLES = tuple(rules.FLAG_TABLES)
-_IN = ", ".join(f"'{t}'" for t in DICT_TABLES)
-ENTRY_SQL = f"""en AS (SELECT "table" AS key, 'table' AS entry_type, table_label AS label FROM ({CLASS_SQL}) WHERE "table" IN ({_IN}) UNION ALL SELECT t || '.' || c, 'column', label FROM ({LABEL_SQL}) WHERE t IN ({_IN}))"""
 
 
-def entry_rows(spark, sf_dir):
-    labels = rules.labelled(spark, sf_dir, DICT_TABLES)
-    prof = profile.tables(rules.frames(spark, sf_dir, DICT_TABLES))
+def entry_sql(names) -> str:
+    listed = ", ".join(f"'{t}'" for t in names)
+    return f"""en AS (SELECT "table" AS key, 'table' AS entry_type, table_label AS label FROM ({CLASS_SQL}) WHERE "table" IN ({listed}) UNION ALL SELECT t || '.' || c, 'column', label FROM ({LABEL_SQL}) WHERE t IN ({listed}))"""
+
+
+def entry_rows(spark, sf_dir, names):
+    labels = rules.labelled(spark, sf_dir, names)
+    prof = profile.tables(rules.frames(spark, sf_dir, names))
     return dictionary.entries(prof, labels, profile.classify_tables(labels))
 
 
@@ -102,70 +106,73 @@ def stored_entries(rows):
     return old.select("key", "entry_type", label.alias("label"), F.lit("approved").alias("status"), F.lit(1).alias("version"))
 
 
-UPSERTED = f"""{ENTRY_SQL}, up AS (SELECT key, entry_type, label, CASE WHEN entry_type = 'table' THEN 'draft' WHEN label = 'identifier' THEN 'reviewed' ELSE 'approved' END AS status, CASE WHEN entry_type = 'table' THEN 1 ELSE 2 END AS version,
+def upserted_sql(names) -> str:
+    return f"""{entry_sql(names)}, up AS (SELECT key, entry_type, label, CASE WHEN entry_type = 'table' THEN 'draft' WHEN label = 'identifier' THEN 'reviewed' ELSE 'approved' END AS status, CASE WHEN entry_type = 'table' THEN 1 ELSE 2 END AS version,
   CASE WHEN entry_type = 'table' THEN 'created' ELSE 'updated' END AS change FROM en)"""
 
 
-def upserted(spark, sf_dir):
-    rows = base.kept(spark, sf_dir, "entries", lambda: entry_rows(spark, sf_dir))
+def upserted(spark, sf_dir, names):
+    rows = base.kept(spark, sf_dir, f"entries of {', '.join(names)}", lambda: entry_rows(spark, sf_dir, names))
     return dictionary.upsert(stored_entries(rows), rows)
 
 
-@query("dictionary_upsert", f"WITH {UPSERTED} SELECT * FROM up")
-def dictionary_upsert(spark, sf_dir):
-    return upserted(spark, sf_dir)
-
-
-@query("dictionary_upsert_counts", f"WITH {UPSERTED} SELECT entry_type, count(*) FILTER (change = 'created') AS created, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'kept') AS kept, count(*) AS total FROM up GROUP BY 1")
-def dictionary_upsert_counts(spark, sf_dir):
-    return dictionary.upsert_counts(upserted(spark, sf_dir))
-
-
-@query("dictionary_search", f"WITH {UPSERTED} SELECT key, label, status FROM up WHERE status = 'reviewed' AND contains(lower(key || ' ' || label), 'id') ORDER BY key LIMIT 200")
-def dictionary_search(spark, sf_dir):
-    return dictionary.search(upserted(spark, sf_dir), "id", "reviewed").select("key", "label", "status")
-
-
-def reviewed(spark, sf_dir):
-    rows = upserted(spark, sf_dir)
+def reviewed(spark, sf_dir, names):
+    rows = upserted(spark, sf_dir, names)
     made = rows.select("key", F.when(F.col("label") == "unknown", "deprecate").otherwise("approve").alias("decision"), F.lit("steward").alias("decided_by"))
     return dictionary.review(rows, made)
 
 
-@query("dictionary_review", f"WITH {UPSERTED} SELECT key, CASE WHEN label = 'unknown' THEN 'deprecated' ELSE 'approved' END AS status, version + 1 AS version FROM up")
-def dictionary_review(spark, sf_dir):
-    return reviewed(spark, sf_dir)[0].select("key", "status", "version")
+def dictionary_queries(suffix: str, names) -> None:
+    """Register the dictionary queries over the tables ``names``."""
+    up = upserted_sql(names)
 
+    @query(f"dictionary_upsert{suffix}", f"WITH {up} SELECT * FROM up")
+    def dictionary_upsert(spark, sf_dir):
+        return upserted(spark, sf_dir, names)
 
-@query("dictionary_history", f"WITH {UPSERTED} SELECT key, status AS before_status, CASE WHEN label = 'unknown' THEN 'deprecated' ELSE 'approved' END AS after_status, 'steward' AS decided_by FROM up")
-def dictionary_history(spark, sf_dir):
-    h = reviewed(spark, sf_dir)[1]
-    return h.select("key", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"), "decided_by")
+    @query(f"dictionary_upsert_counts{suffix}", f"WITH {up} SELECT entry_type, count(*) FILTER (change = 'created') AS created, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'kept') AS kept, count(*) AS total FROM up GROUP BY 1")
+    def dictionary_upsert_counts(spark, sf_dir):
+        return dictionary.upsert_counts(upserted(spark, sf_dir, names))
 
+    @query(f"dictionary_search{suffix}", f"WITH {up} SELECT key, label, status FROM up WHERE status = 'reviewed' AND contains(lower(key || ' ' || label), 'id') ORDER BY key LIMIT 200")
+    def dictionary_search(spark, sf_dir):
+        return dictionary.search(upserted(spark, sf_dir, names), "id", "reviewed").select("key", "label", "status")
 
-@query(
-    "dictionary_metrics",
-    f"""WITH {UPSERTED} SELECT entry_type, count(*) AS entries, count(*) FILTER (status = 'draft') AS draft, count(*) FILTER (status = 'reviewed') AS reviewed, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'deprecated') AS deprecated,
+    @query(f"dictionary_review{suffix}", f"WITH {up} SELECT key, CASE WHEN label = 'unknown' THEN 'deprecated' ELSE 'approved' END AS status, version + 1 AS version FROM up")
+    def dictionary_review(spark, sf_dir):
+        return reviewed(spark, sf_dir, names)[0].select("key", "status", "version")
+
+    @query(f"dictionary_history{suffix}", f"WITH {up} SELECT key, status AS before_status, CASE WHEN label = 'unknown' THEN 'deprecated' ELSE 'approved' END AS after_status, 'steward' AS decided_by FROM up")
+    def dictionary_history(spark, sf_dir):
+        h = reviewed(spark, sf_dir, names)[1]
+        return h.select("key", F.col("before.status").alias("before_status"), F.col("after.status").alias("after_status"), "decided_by")
+
+    @query(
+        f"dictionary_metrics{suffix}",
+        f"""WITH {up} SELECT entry_type, count(*) AS entries, count(*) FILTER (status = 'draft') AS draft, count(*) FILTER (status = 'reviewed') AS reviewed, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'deprecated') AS deprecated,
   round(100.0 * count(*) FILTER (status = 'approved') / count(*), 2)::DOUBLE AS approved_pct FROM up GROUP BY 1""",
-)
-def dictionary_metrics(spark, sf_dir):
-    return dictionary.metrics(upserted(spark, sf_dir))
+    )
+    def dictionary_metrics(spark, sf_dir):
+        return dictionary.metrics(upserted(spark, sf_dir, names))
 
 
-# --- runs: one per relational table and one per document source -------------------------------
+dictionary_queries("", DICT_TABLES)
+dictionary_queries("_all", ALL_TABLES)
 
-RUN_TABLES = ("nation", "customer", "supplier", "part", "orders")
 
+# --- runs: one per relational table and one per document source -------------------------------
 
 def table_runs(spark, sf_dir):
     """A profile run per table, scored by label confidence and missing cells."""
-    prof = profile.tables(rules.frames(spark, sf_dir, RUN_TABLES))
-    labels = rules.labelled(spark, sf_dir, RUN_TABLES)
+    tables = rules.frames(spark, sf_dir, ALL_TABLES)
+    prof = profile.tables(tables)
+    labels = rules.labelled(spark, sf_dir)
+    timed = [t for t, df in tables.items() if any(isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for f in df.schema.fields)]
     conf = labels.groupBy("table").agg(F.avg("confidence").alias("c"))
     runs = prof.groupBy("table").agg(F.max("rows").alias("total_records"), F.count("*").alias("total_columns"), rnd(100.0 * F.avg(F.col("nulls") / F.col("rows")), 2).alias("missing_pct"))
     return runs.join(conf, "table").select(
         F.col("table").alias("run_id"), rnd("c").alias("confidence_score"), rnd(F.col("c") * 0.9).alias("graph_trust_score"), rnd(F.col("c") * 0.8).alias("retrieval_readiness_score"), rnd(F.col("c") * 0.7).alias("overall_kg_quality_score"),
-        "total_records", "total_columns", "missing_pct", F.lit(True).alias("supports_correlation"), (F.col("table") == "orders").alias("supports_time_series"),
+        "total_records", "total_columns", "missing_pct", F.lit(True).alias("supports_correlation"), F.col("table").isin(timed).alias("supports_time_series"),
         F.lit(True).alias("supports_kg_metrics"), F.lit(False).alias("supports_feature_importance"),
     )
 

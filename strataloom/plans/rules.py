@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.operators import joins, profile, stats, timeseries, validate
-from strataloom.plans.registry import COLUMNS, RELATIONAL, query, union_sql
+from strataloom.plans.registry import ALL_TABLES, COLUMNS, RELATIONAL, query, union_sql
 from strataloom.plans.tabular import _profile_sql, _with_facts, text_cell
 from strataloom.session import load
 from strataloom.sources import catalog
@@ -82,15 +82,23 @@ def _hint_sql(typed: str) -> str:
 TYPED = ("customer", "orders", "events")
 
 
-@query("datatype_inference", f"""SELECT t AS "table", c AS "column", datatype FROM ({union_sql(_typed_sql(t) for t in TYPED)})""")
-def datatype_inference(spark, sf_dir):
+def datatypes_sql(names) -> str:
+    return f"""SELECT t AS "table", c AS "column", datatype FROM ({union_sql(_typed_sql(t) for t in names)})"""
+
+
+def datatypes(spark, sf_dir, names):
     out = None
-    for t in TYPED:
+    for t in names:
         one = profile.infer_types(profile.value_counts(load(spark, sf_dir, t))).select(F.lit(t).alias("table"), "column", "datatype")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("datatype_inference", datatypes_sql(TYPED))
+def datatype_inference(spark, sf_dir):
+    return datatypes(spark, sf_dir, TYPED)
+
+
 @query(
     "column_metadata",
     f"""SELECT p."table", p."column", datatype, label, confidence, null_pct, cardinality,
@@ -126,38 +134,49 @@ def table_classes(spark, sf_dir):
     return profile.classify_tables(labelled(spark, sf_dir)).select("table", "table_label")
 
 
-@query(
-    "table_classes_by_content",
-    f"""SELECT t AS "table", CASE WHEN count(*) FILTER (label = 'monetary') >= 1 AND count(*) FILTER (label = 'temporal') >= 1 THEN 'transactional'
+def content_classes_sql(names) -> str:
+    return f"""SELECT t AS "table", CASE WHEN count(*) FILTER (label = 'monetary') >= 1 AND count(*) FILTER (label = 'temporal') >= 1 THEN 'transactional'
   WHEN count(*) FILTER (label = 'identifier') >= 2 THEN 'reference/dimension' WHEN count(*) FILTER (label = 'person_or_org_name') >= 1 THEN 'entity_master' ELSE 'generic' END AS table_label,
   CAST(CASE WHEN count(*) FILTER (label = 'monetary') >= 1 AND count(*) FILTER (label = 'temporal') >= 1 THEN 0.7
   WHEN count(*) FILTER (label = 'identifier') >= 2 THEN 0.65 WHEN count(*) FILTER (label = 'person_or_org_name') >= 1 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS table_confidence
-FROM ({_hint_sql(union_sql(_typed_sql(t) for t in TYPED))}) GROUP BY t""",
-)
-def table_classes_by_content(spark, sf_dir):
+FROM ({_hint_sql(union_sql(_typed_sql(t) for t in names))}) GROUP BY t"""
+
+
+def content_classes(spark, sf_dir, names):
     out = None
-    for t in TYPED:
+    for t in names:
         typed = profile.infer_types(profile.value_counts(load(spark, sf_dir, t)))
         one = profile.label_by_tokens(typed).withColumn("table", F.lit(t))
         out = one if out is None else out.unionByName(one)
     return profile.classify_by_content(out)
 
 
+@query("table_classes_by_content", content_classes_sql(TYPED))
+def table_classes_by_content(spark, sf_dir):
+    return content_classes(spark, sf_dir, TYPED)
+
+
 FLAG_TABLES = {"events": ["event_id", "user_id", "value"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"]}
-FLAGS_SQL = union_sql(
-    f"""SELECT p."table", p."column", concat_ws(',', CASE WHEN p.nulls / CAST(p."rows" AS DOUBLE) >= 0.5 THEN 'high_null_rate' END,
+
+
+def flags_sql(scope) -> str:
+    return union_sql(
+        f"""SELECT p."table", p."column", concat_ws(',', CASE WHEN p.nulls / CAST(p."rows" AS DOUBLE) >= 0.5 THEN 'high_null_rate' END,
   CASE WHEN p.filled >= 5 AND p.cardinality / CAST(p.filled AS DOUBLE) <= 0.2 THEN 'low_sample_uniqueness' END, CASE WHEN coalesce(z.n, 0) > 0 THEN 'numeric_outliers' END) AS flags
 FROM ({union_sql(_profile_sql(t, c) for c in COLUMNS[t])}) p LEFT JOIN ({_with_facts(t, cols)}
   SELECT col, count(*) FILTER (abs((v - mean) / std) >= 3) AS n FROM cells JOIN facts USING (col) GROUP BY col) z ON z.col = p."column\""""
-    for t, cols in FLAG_TABLES.items()
-)
+        for t, cols in scope.items()
+    )
+
 
+FLAGS_SQL = flags_sql(FLAG_TABLES)
 
-def flagged(spark, sf_dir):
+
+def flagged(spark, sf_dir, names=tuple(FLAG_TABLES)):
     out = None
-    for t, cols in FLAG_TABLES.items():
+    for t in names:
         df = load(spark, sf_dir, t)
-        one = profile.anomalies(profile.columns(df, t), stats.outliers(df, cols))
+        one = profile.anomalies(profile.columns(df, t), stats.outliers(df))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -167,8 +186,16 @@ def anomaly_flags(spark, sf_dir):
     return flagged(spark, sf_dir).select("table", "column", "flags")
 
 
-ROLLUP_SQL = f"""SELECT "table", count(*) AS column_count, count(*) FILTER (flags <> '') AS high_risk_column_count,
-  round(count(*) FILTER (flags <> '') / CAST(count(*) AS DOUBLE), 4) AS high_risk_ratio FROM ({FLAGS_SQL}) GROUP BY "table\""""
+def rollup_sql(scope) -> str:
+    return f"""SELECT "table", count(*) AS column_count, count(*) FILTER (flags <> '') AS high_risk_column_count,
+  round(count(*) FILTER (flags <> '') / CAST(count(*) AS DOUBLE), 4) AS high_risk_ratio FROM ({flags_sql(scope)}) GROUP BY "table\""""
+
+
+def risky_sql(scope) -> str:
+    return f"SELECT * FROM ({rollup_sql(scope)}) ORDER BY high_risk_ratio DESC, high_risk_column_count DESC, \"table\" LIMIT 10"
+
+
+ROLLUP_SQL = rollup_sql(FLAG_TABLES)
 
 
 @query("table_rollup", ROLLUP_SQL)
@@ -176,7 +203,7 @@ def table_rollup(spark, sf_dir):
     return profile.rollup(flagged(spark, sf_dir))
 
 
-@query("ranked_risky_tables", f"SELECT * FROM ({ROLLUP_SQL}) ORDER BY high_risk_ratio DESC, high_risk_column_count DESC, \"table\" LIMIT 10")
+@query("ranked_risky_tables", risky_sql(FLAG_TABLES))
 def ranked_risky_tables(spark, sf_dir):
     return joins.rank_tables(profile.rollup(flagged(spark, sf_dir)))
 
@@ -212,7 +239,11 @@ UNION ALL SELECT t, c, 'enum_violations', rare, 'medium' FROM b WHERE filled >=
 UNION ALL SELECT t, c, 'type_mismatches', filled - parsed, 'medium' FROM b WHERE filled >= 6 AND label IN ('quantity', 'score', 'age', 'monetary_value') AND parsed / filled < 0.8"""
 
 
-@query("validation_checks", union_sql(f"SELECT * FROM ({_findings_sql(t)})" for t in CHECKED))
+def checks_sql(names) -> str:
+    return union_sql(f"SELECT * FROM ({_findings_sql(t)})" for t in names)
+
+
+@query("validation_checks", checks_sql(CHECKED))
 def validation_checks(spark, sf_dir):
     return findings(spark, sf_dir)
 
@@ -347,18 +378,19 @@ def schema_canonical_nodes(spark, sf_dir):
 
 # --- report, quality and health --------------------------------------------------------
 
-REPORT_SQL = f"""WITH f AS ({union_sql(f"SELECT * FROM ({_findings_sql(t)})" for t in CHECKED)})
+def report_sql(names) -> str:
+    return f"""WITH f AS ({checks_sql(names)})
 SELECT {', '.join(f"CAST(coalesce(sum(count) FILTER (\"check\" = '{c}'), 0) AS BIGINT) AS {c}" for c in validate.CHECKS)}, count(*) AS findings,
   (SELECT count(*) FROM ({_overlap_sql()}) WHERE signal = 'weak') AS orphan_relationships,
   (SELECT count(*) FROM ({CLASS_SQL}) WHERE table_label = 'unknown') AS schema_drift,
   (SELECT count(*) FROM ({_overlap_sql()}) WHERE signal = 'weak') AS foreign_key_issues FROM f"""
 
 
-def reported(spark, sf_dir):
-    return validate.report(findings(spark, sf_dir), evidence(spark, sf_dir), profile.classify_tables(labelled(spark, sf_dir)))
+def reported(spark, sf_dir, names=CHECKED):
+    return validate.report(findings(spark, sf_dir, names), evidence(spark, sf_dir), profile.classify_tables(labelled(spark, sf_dir)))
 
 
-@query("consistency_report", REPORT_SQL)
+@query("consistency_report", report_sql(CHECKED))
 def consistency_report(spark, sf_dir):
     return reported(spark, sf_dir)
 
@@ -366,66 +398,75 @@ def consistency_report(spark, sf_dir):
 HEALTHY = tuple(FLAG_TABLES)
 
 
-def quality_parts(spark, sf_dir):
-    prof = profile.tables(frames(spark, sf_dir, HEALTHY))
-    return validate.quality(prof, findings(spark, sf_dir, HEALTHY), flagged(spark, sf_dir), labelled(spark, sf_dir, HEALTHY))
+def quality_parts(spark, sf_dir, names=HEALTHY):
+    prof = profile.tables(frames(spark, sf_dir, names))
+    return validate.quality(prof, findings(spark, sf_dir, names), flagged(spark, sf_dir, names), labelled(spark, sf_dir, names))
 
 
-QUALITY_SQL = f"""WITH p AS ({union_sql(_profile_sql(t, c) for t in HEALTHY for c in COLUMNS[t])}), f AS ({union_sql(f"SELECT * FROM ({_findings_sql(t)})" for t in HEALTHY)}),
+def quality_sql(scope) -> str:
+    listed = ", ".join(f"'{t}'" for t in scope)
+    return f"""WITH p AS ({union_sql(_profile_sql(t, c) for t in scope for c in COLUMNS[t])}), f AS ({checks_sql(scope)}),
 q AS (SELECT 1 - avg(nulls / CAST("rows" AS DOUBLE)) AS completeness, 1 - (SELECT count(*) FROM f) / CAST(count(*) AS DOUBLE) AS consistency,
   1 - sum(duplicate_proxy) / CAST(sum(filled) AS DOUBLE) AS uniqueness,
-  1 - coalesce((SELECT sum(count) FROM f WHERE "check" = 'invalid_dates'), 0) / greatest(1, (SELECT count(*) FROM ({LABEL_SQL}) WHERE t IN ('events', 'orders') AND (label = 'datetime' OR regexp_matches(c, 'date|time|timestamp')))) AS validity,
-  (SELECT count(*) FROM ({FLAGS_SQL}) WHERE flags <> '') / CAST(count(*) AS DOUBLE) AS anomaly_ratio FROM p)"""
+  1 - coalesce((SELECT sum(count) FROM f WHERE "check" = 'invalid_dates'), 0) / greatest(1, (SELECT count(*) FROM ({LABEL_SQL}) WHERE t IN ({listed}) AND (label = 'datetime' OR regexp_matches(c, 'date|time|timestamp')))) AS validity,
+  (SELECT count(*) FROM ({flags_sql(scope)}) WHERE flags <> '') / CAST(count(*) AS DOUBLE) AS anomaly_ratio FROM p)"""
 
 
-@query(
-    "health_score",
-    f"""{QUALITY_SQL}
+def health_sql(scope) -> str:
+    return f"""{quality_sql(scope)}
 SELECT round(completeness, 4) AS completeness, round(consistency, 4) AS consistency, round(uniqueness, 4) AS uniqueness, round(validity, 4) AS validity, round(anomaly_ratio, 4) AS anomaly_ratio,
-  round(0.30 * completeness + 0.22 * consistency + 0.20 * uniqueness + 0.18 * validity + 0.10 * (1 - anomaly_ratio), 4) AS health_score FROM q""",
-)
+  round(0.30 * completeness + 0.22 * consistency + 0.20 * uniqueness + 0.18 * validity + 0.10 * (1 - anomaly_ratio), 4) AS health_score FROM q"""
+
+
+@query("health_score", health_sql(FLAG_TABLES))
 def health_score(spark, sf_dir):
     return validate.health(quality_parts(spark, sf_dir))
 
 
-@query(
-    "table_missing_and_duplicates",
-    f"""SELECT "table", round(100.0 * avg(nulls / CAST("rows" AS DOUBLE)), 2) AS avg_missing_pct, CAST(sum(duplicate_proxy) AS BIGINT) AS duplicate_proxy
-FROM ({union_sql(_profile_sql(t, c) for t in HEALTHY for c in COLUMNS[t])}) GROUP BY "table\"""",
-)
+def missing_sql(names) -> str:
+    return f"""SELECT "table", round(100.0 * avg(nulls / CAST("rows" AS DOUBLE)), 2) AS avg_missing_pct, CAST(sum(duplicate_proxy) AS BIGINT) AS duplicate_proxy
+FROM ({union_sql(_profile_sql(t, c) for t in names for c in COLUMNS[t])}) GROUP BY "table\""""
+
+
+@query("table_missing_and_duplicates", missing_sql(HEALTHY))
 def table_missing_and_duplicates(spark, sf_dir):
     return validate.table_missing(profile.tables(frames(spark, sf_dir, HEALTHY)))
 
 
 @query("schema_tree")
 def schema_tree(spark, sf_dir):
-    labels = labelled(spark, sf_dir, HEALTHY)
-    return validate.schema_tree(profile.tables(frames(spark, sf_dir, HEALTHY)), labels, profile.classify_tables(labels))
+    labels = labelled(spark, sf_dir)
+    return validate.schema_tree(profile.tables(frames(spark, sf_dir, ALL_TABLES)), labels, profile.classify_tables(labels))
 
 
 @query("executive_summary")
 def executive_summary(spark, sf_dir):
     spikes = timeseries.spikes(timeseries.daily(load(spark, sf_dir, "orders")), window=30).agg(F.count("*").alias("spikes"))
-    return validate.summary(quality_parts(spark, sf_dir), reported(spark, sf_dir), spikes)
+    return validate.summary(quality_parts(spark, sf_dir, ALL_TABLES), reported(spark, sf_dir, ALL_TABLES), spikes)
 
 
-@query(
-    "core_kpis",
-    f"""{QUALITY_SQL}
+def kpis_sql(scope) -> str:
+    return f"""{quality_sql(scope)}
 SELECT (SELECT CAST(sum(filled) AS BIGINT) FROM p) AS total_records, (SELECT count(*) FROM p) AS total_columns, (SELECT CAST(sum(duplicate_proxy) AS BIGINT) FROM p) AS duplicate_cells,
-  round(100.0 * (1 - completeness), 2) AS missing_pct, (SELECT count(*) FROM ({FLAGS_SQL}) WHERE flags <> '') AS anomaly_count, {len(LINKS)}::BIGINT AS relationships,
+  round(100.0 * (1 - completeness), 2) AS missing_pct, (SELECT count(*) FROM ({flags_sql(scope)}) WHERE flags <> '') AS anomaly_count, {len(LINKS)}::BIGINT AS relationships,
   (SELECT count(*) FROM ({_overlap_sql()}) WHERE signal = 'weak') AS orphan_relationships, (SELECT count(*) FROM ({CLASS_SQL}) WHERE table_label = 'unknown') AS schema_drift_count,
   (SELECT round(100.0 * count(*) FILTER (label = 'datetime' OR regexp_matches(lower(c), 'date|time|timestamp')) / count(*), 2) FROM ({LABEL_SQL})) AS timestamp_coverage_pct,
-  TRUE AS supports_time_series FROM q""",
-)
-def core_kpis(spark, sf_dir):
+  TRUE AS supports_time_series FROM q"""
+
+
+def kpis(spark, sf_dir, names):
     labels = labelled(spark, sf_dir)
     return validate.kpis(
-        profile.tables(frames(spark, sf_dir, HEALTHY)), quality_parts(spark, sf_dir), flagged(spark, sf_dir), evidence(spark, sf_dir),
+        profile.tables(frames(spark, sf_dir, names)), quality_parts(spark, sf_dir, names), flagged(spark, sf_dir, names), evidence(spark, sf_dir),
         profile.classify_tables(labels), timeseries.coverage(labels),
     )
 
 
+@query("core_kpis", kpis_sql(FLAG_TABLES))
+def core_kpis(spark, sf_dir):
+    return kpis(spark, sf_dir, HEALTHY)
+
+
 @query(
     "profile_accuracy",
     f"""WITH l AS (SELECT CASE WHEN label = 'unknown' THEN 0.35 ELSE 0.72 END AS conf FROM ({LABEL_SQL})), ev AS ({_overlap_sql()}), e AS ({EDGES_SQL}), k AS ({KEYS_SQL}),

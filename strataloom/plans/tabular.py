@@ -27,15 +27,20 @@ def _profile_sql(table: str, c: str) -> str:
   count({v}) - count(DISTINCT {v}) AS duplicate_proxy FROM {table}"""
 
 
-PROFILE_SQL = union_sql(_profile_sql(t, c) for t in PROFILED for c in COLUMNS[t])
+def profile_sql(names) -> str:
+    return union_sql(_profile_sql(t, c) for t in names for c in COLUMNS[t])
 
 
-@query("column_profile", PROFILE_SQL)
-def column_profile(spark, sf_dir):
-    out = profile.tables({t: load(spark, sf_dir, t) for t in PROFILED})
+def profiles(spark, sf_dir, names):
+    out = profile.tables({t: load(spark, sf_dir, t) for t in names})
     return out.withColumn("uniqueness_ratio", rnd("uniqueness_ratio", 6))
 
 
+@query("column_profile", profile_sql(PROFILED))
+def column_profile(spark, sf_dir):
+    return profiles(spark, sf_dir, PROFILED)
+
+
 @query(
     "column_moments",
     union_sql(
@@ -255,19 +260,24 @@ def qq_sample_values(spark, sf_dir):
     return stats.qq_points(load(spark, sf_dir, "orders"), ["o_totalprice"]).select("column", "rank", "actual")
 
 
-@query(
-    "null_bands",
-    f"""SELECT count(*) FILTER (r >= 0.5) AS high_null_columns, count(*) FILTER (r >= 0.2 AND r < 0.5) AS medium_null_columns,
-  count(*) FILTER (r < 0.2) AS low_null_columns FROM (SELECT nulls / CAST("rows" AS DOUBLE) AS r FROM ({PROFILE_SQL}))""",
-)
-def null_bands(spark, sf_dir):
+def bands_sql(names) -> str:
+    return f"""SELECT count(*) FILTER (r >= 0.5) AS high_null_columns, count(*) FILTER (r >= 0.2 AND r < 0.5) AS medium_null_columns,
+  count(*) FILTER (r < 0.2) AS low_null_columns FROM (SELECT nulls / CAST("rows" AS DOUBLE) AS r FROM ({profile_sql(names)}))"""
+
+
+def bands(spark, sf_dir, names):
     out = None
-    for t in PROFILED:
+    for t in names:
         one = profile.null_counts(load(spark, sf_dir, t))
         out = one if out is None else out.unionByName(one)
     return stats.null_bands(out)
 
 
+@query("null_bands", bands_sql(PROFILED))
+def null_bands(spark, sf_dir):
+    return bands(spark, sf_dir, PROFILED)
+
+
 # --- correlation -----------------------------------------------------------------
 
 CORRELATED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
