@@ -301,6 +301,17 @@ def cycles(spark, sf_dir):
     return found.select(F.array_join("nodes", ">").alias("path"), "length")
 
 
+@query(
+    "cyclic_parts",
+    f"""WITH RECURSIVE {GRAPH}, x AS (SELECT DISTINCT source AS s, target AS t FROM e), far(s, t) AS (SELECT s, t FROM x UNION SELECT far.s, x.t FROM far JOIN x ON x.s = far.t),
+p AS (SELECT a.s AS id, min(a.t) AS part FROM far a JOIN far b ON b.s = a.t AND b.t = a.s GROUP BY 1)
+SELECT a.part, count(DISTINCT x.s) AS nodes, count(*) AS edges, count(*) - count(DISTINCT x.s) + 1 AS cycles FROM x JOIN p a ON a.id = x.s JOIN p b ON b.id = x.t AND b.part = a.part GROUP BY 1""",
+)
+def cyclic_parts(spark, sf_dir):
+    """Parts of the graph with directed cycles of any length; ``cycles`` lists those of two and three edges."""
+    return graph.cyclic_parts(parts(spark, sf_dir)[1])
+
+
 # --- ontology --------------------------------------------------------------------------
 
 RENAME = {"value": "monetary", "time": "temporal", "entity": "concept"}
@@ -418,7 +429,7 @@ def ontology_violations(spark, sf_dir):
 @query("graph_consistency")
 def graph_consistency(spark, sf_dir):
     nodes, edges = parts(spark, sf_dir)
-    return graph.consistency(nodes, edges, violations(spark, sf_dir), graph.cycles(edges, longest=3))
+    return graph.consistency(nodes, edges, violations(spark, sf_dir), graph.cyclic_parts(edges))
 
 
 @query("entity_list", f"WITH {GRAPH}, {DEGREES} SELECT n.id, n.label, n.entity_type, dg.degree FROM n JOIN dg USING (id)")
