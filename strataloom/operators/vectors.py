@@ -287,3 +287,42 @@ def ann_join(left: DataFrame, right: DataFrame, distance: float, bucket: float =
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed)
     a, b = shape(left), shape(right)
     return lsh.fit(a).approxSimilarityJoin(a, b, distance, "distance")
+
+
+def near_pairs(df: DataFrame, distance: float, key: str, vector: str = "vector", blocks: int = 16, block_rows: int = 4096) -> DataFrame:
+    """All row pairs nearer than a Euclidean ``distance``: ``left_id, right_id, distance``, the smaller key left.
+
+    Rows are dealt to blocks by a hash of the key, and every two blocks meet in one task as a
+    numpy product. Nothing is left out; the work grows with the square of the rows.
+    """
+    n = max(blocks, -(-df.count() // block_rows))
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("left_id", kind), T.StructField("right_id", kind), T.StructField("distance", T.DoubleType())])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf["low"].iat[0], pdf["high"].iat[0]
+        a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
+        parts = [pd.DataFrame({"left_id": a["id"].iloc[:0], "right_id": a["id"].iloc[:0], "distance": np.empty(0)})]
+        if not a.empty and not b.empty:
+            right, right_ids = np.array(b["v"].tolist(), dtype=np.float64), b["id"].to_numpy()
+            right_norms = (right**2).sum(axis=1)
+            for start in range(0, len(a), 512):
+                left, left_ids = np.array(a["v"].iloc[start:start + 512].tolist(), dtype=np.float64), a["id"].to_numpy()[start:start + 512]
+                norms = (left**2).sum(axis=1)[:, None] + right_norms[None, :]
+                # The product may be off by rounding: what it lets through is measured again.
+                rows, cols = np.nonzero(norms - 2.0 * (left @ right.T) <= distance**2 + 1e-9 * (1.0 + norms))
+                for at in range(0, len(rows), 65536):
+                    i, j = rows[at:at + 65536], cols[at:at + 65536]
+                    d = np.sqrt(((left[i] - right[j]) ** 2).sum(axis=1))
+                    x, y = left_ids[i], right_ids[j]
+                    hit = (d < distance) & ((x < y) | ((low != high) & (x > y)))
+                    x, y, d = x[hit], y[hit], d[hit]
+                    parts.append(pd.DataFrame({"left_id": np.where(x < y, x, y), "right_id": np.where(x < y, y, x), "distance": d}))
+        return pd.concat(parts, ignore_index=True)
+
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    dealt = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), block.alias("block"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
+        "id", "v", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    return met.groupBy("low", "high").applyInPandas(compare, schema)
