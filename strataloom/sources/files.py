@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,25 +69,49 @@ def _json_blocks(texts: DataFrame) -> DataFrame:
     return rows.unionByName(rest).select("source_id", F.lit("json").alias("source_type"), "block_id", "kind", "text")
 
 
+def _either_case(kind: str) -> str:
+    """Glob of the extension ``kind`` in any case."""
+    return "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in kind)
+
+
+def _csv_frames(spark: SparkSession, path: str, glob: str) -> list[DataFrame]:
+    """A frame per header line (the first that is not blank), so that no file is read under another's header.
+
+    The paths of the CSV files reach the driver, as for any list of files to read.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), "value",
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"),
+    ).where("start = 0 AND trim(value) <> ''")
+    heads = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    found = heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    one_file = any(p.endswith(path.rstrip("/")) for r in found for p in r["paths"])
+    # Columns of partition folders are kept.
+    base = {} if one_file or re.search(r"[*?\[\]{}]", path) else {"basePath": path}
+    reader = spark.read.options(header=True, inferSchema=True, **base)
+    return [reader.csv([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in r["paths"]]) for r in found]
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Corpus blocks ``source_id, source_type, block_id, kind, text``, each file of ``path`` by its extension (all by ``fmt`` if given).
 
     Tables give one block per row, everything else one block per file. A table
-    reader that finds no columns falls back to the text scan. Only the set of
-    extensions reaches the driver.
+    reader that finds no columns falls back to the text scan. CSV files are read
+    per header line. The set of extensions and the CSV paths reach the driver.
     """
     listed = spark.read.format("binaryFile").load(path).select(extension(F.col("path")).alias("kind")).distinct()
     kinds = [fmt.lower()] if fmt else sorted(r["kind"] for r in listed.collect())
     parts, read_as_text = [], []
     for kind in kinds:
-        files = spark.read.option("pathGlobFilter", f"*.{kind}" if not fmt and kind else "*")
+        glob = _either_case(kind) if not fmt and kind else "*"
+        files = spark.read.option("pathGlobFilter", glob)
         if kind == "json":
             parts.append(_json_blocks(read_text(spark, path).where(F.lit(fmt is not None) | (extension(F.col("source_id")) == kind))))
         elif kind in TABLE_FORMATS:
-            df = files.option("header", True).option("inferSchema", True).csv(path) if kind == "csv" else files.format(kind).load(path)
-            if df.columns and "_corrupt_record" not in df.columns:
-                parts.append(_blocks(df, kind))
-            else:
+            frames = _csv_frames(spark, path, glob) if kind == "csv" else [files.format(kind).load(path)]
+            tables = [df for df in frames if df.columns and "_corrupt_record" not in df.columns]
+            parts += [_blocks(df, kind) for df in tables]
+            if not tables:
                 read_as_text.append(kind)
         else:
             read_as_text.append(kind)
