@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import byte_bpe, chat, cover_tree, decontaminate, ngram_join, pii, secrets, substring_dedup, token_file, toxicity
+from strataloom.llm import bisector, byte_bpe, chat, cover_tree, decontaminate, merkle, ngram_join, pii, secrets, substring_dedup, token_file, toxicity
 from strataloom.llm.common import table
 from strataloom.session import work_folder
 
@@ -76,6 +76,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(own.unionByName(more))
 
 
+@query
+def op12_bisector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tamper=merkle.every_third())
+
+
+SQL["op12_bisector"] = bisector.sql()
+SQL["op13_merkle"] = merkle.SQL
 SQL["op5_decontaminate"] = decontaminate.SQL
 
 SQL["op2_substring_dedup"] = r"""
