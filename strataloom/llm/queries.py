@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.llm import bisector, byte_bpe, chat, cover_tree, decontaminate, merkle, ngram_join, pii, secrets, substring_dedup, token_file, toxicity
+from strataloom.llm import bisector, byte_bpe, chat, cover_tree, decontaminate, merkle, ngram_join, pii, secrets, substring_dedup, token_file, toxicity, vp_tree
 from strataloom.llm.common import table
 from strataloom.session import work_folder
 
@@ -76,6 +76,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(own.unionByName(more))
 
 
+@query
+def op11_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factor one: the vectors of the tables are so evenly spread that a larger one saves little and loses hits (README)."""
+    return vp_tree.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 @query
 def op12_bisector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisector.clusters(table(spark, sf_dir, "embeddings"))
@@ -86,6 +92,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tamper=merkle.every_third())
 
 
+SQL["op11_vp_tree"] = vp_tree.SQL
 SQL["op12_bisector"] = bisector.sql()
 SQL["op13_merkle"] = merkle.SQL
 SQL["op5_decontaminate"] = decontaminate.SQL
