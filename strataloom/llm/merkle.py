@@ -1,6 +1,6 @@
 """Merkle manifest of a dataset: a tree per group, a tree over the groups, a proof for every row.
 
-Leaves are numbered in order of their group and id. A *superblock* is ``8**LEVELS``
+Leaves are numbered in order of their group and id. A *superblock* is ``8**levels``
 neighbouring nodes of one tree; it is reduced by one task, its digest is a
 node of the next round, and so on until each tree has one node. On the way
 back, nodes and the outer nodes of their superblock (what stands left and right
@@ -13,6 +13,7 @@ nodes are those that the round below needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import sha256
 
 import pandas as pd
@@ -23,7 +24,6 @@ from strataloom.session import cut_lineage
 
 FANOUT = 8
 LEVELS = 3  # of a superblock: 512 nodes, whatever the size of the dataset
-BLOCK = FANOUT**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 NODE = "tree long, n long, pos long, digest string"
@@ -59,7 +59,7 @@ def numbered(rows: DataFrame, *by: str) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(first), "_part").withColumn("no", F.col("_start") + inside).drop("_at", "_part", "_start")
 
 
-def levels_of(n: int, most: int = LEVELS) -> int:
+def levels_of(n: int, most: int) -> int:
     """Reductions that a superblock takes part in, in a tree that has ``n`` nodes in this round."""
     k = 0
     while n > 1 and k < most:
@@ -94,67 +94,79 @@ def folded(node: str, lefts: list[str], rights: list[str]) -> str:
     return node
 
 
-def _superblock(nodes: pd.DataFrame) -> pd.DataFrame:
+def _superblock(levels: int) -> Callable:
     """The node of the next round that one superblock becomes."""
-    nodes = nodes.sort_values("pos")
-    tree, n, pos = (int(nodes[c].iloc[0]) for c in ("tree", "n", "pos"))
-    top = reduced(nodes["digest"].tolist(), levels_of(n))[-1][0]
-    return pd.DataFrame({"tree": [tree], "n": [-(-n // BLOCK)], "pos": [pos // BLOCK], "digest": [top]})
 
+    def run(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("pos")
+        tree, n, pos = (int(nodes[c].iloc[0]) for c in ("tree", "n", "pos"))
+        top = reduced(nodes["digest"].tolist(), levels_of(n, levels))[-1][0]
+        return pd.DataFrame({"tree": [tree], "n": [-(-n // FANOUT**levels)], "pos": [pos // FANOUT**levels], "digest": [top]})
 
-def _outer_of_nodes(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+    return run
+
+
+def _outer_of_nodes(levels: int) -> Callable:
     """For each node of a superblock, its outer nodes up to the root: those within the superblock, then the superblock's own."""
-    nodes = nodes.sort_values("pos")
-    rows = reduced(nodes["digest"].tolist(), levels_of(int(nodes["n"].iloc[0])))
-    lefts, rights, subroot, root = [], [], None, None
-    if len(outer):
-        lefts, rights = (list(outer[c].iloc[0]) for c in ("lefts", "rights"))
-        subroot, root = outer["subroot"].iloc[0], outer["root"].iloc[0]
-    out = []
-    for k, (tree, pos, digest) in enumerate(zip(nodes["tree"], nodes["pos"], nodes["digest"], strict=True)):
-        left, right = around(rows, k)
-        left, right = left + lefts, right + rights
-        out.append((tree, pos, left, right, subroot, root if root is not None else folded(digest, left, right)))
-    return pd.DataFrame(out, columns=["tree", "block", "lefts", "rights", "subroot", "root"])
 
+    def run(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("pos")
+        rows = reduced(nodes["digest"].tolist(), levels_of(int(nodes["n"].iloc[0]), levels))
+        lefts, rights, subroot, root = [], [], None, None
+        if len(outer):
+            lefts, rights = (list(outer[c].iloc[0]) for c in ("lefts", "rights"))
+            subroot, root = outer["subroot"].iloc[0], outer["root"].iloc[0]
+        out = []
+        for k, (tree, pos, digest) in enumerate(zip(nodes["tree"], nodes["pos"], nodes["digest"], strict=True)):
+            left, right = around(rows, k)
+            left, right = left + lefts, right + rights
+            out.append((tree, pos, left, right, subroot, root if root is not None else folded(digest, left, right)))
+        return pd.DataFrame(out, columns=["tree", "block", "lefts", "rights", "subroot", "root"])
+
+    return run
 
-def _proofs(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+
+def _proofs(levels: int) -> Callable:
     """Local reduction, joined proof and fold of every leaf of a superblock."""
-    nodes = nodes.sort_values("pos")
-    rows = reduced(nodes["digest"].tolist(), levels_of(int(nodes["n"].iloc[0])))
-    lefts, rights = (list(outer[c].iloc[0]) for c in ("lefts", "rights"))
-    out = []
-    for k, (row, changed) in enumerate(zip(nodes["row"], nodes["changed"], strict=True)):
-        left, right = around(rows, k)
-        left, right = left + lefts, right + rights
-        proof = sha("".join(a + b for a, b in zip(left, right, strict=True)))
-        out.append((row, outer["subroot"].iloc[0], outer["root"].iloc[0], proof, folded(changed, left, right)))
-    return pd.DataFrame(out, columns=["row", "subroot", "root", "proof_sha256", "folded_root"])
+
+    def run(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("pos")
+        rows = reduced(nodes["digest"].tolist(), levels_of(int(nodes["n"].iloc[0]), levels))
+        lefts, rights = (list(outer[c].iloc[0]) for c in ("lefts", "rights"))
+        out = []
+        for k, (row, changed) in enumerate(zip(nodes["row"], nodes["changed"], strict=True)):
+            left, right = around(rows, k)
+            left, right = left + lefts, right + rights
+            proof = sha("".join(a + b for a, b in zip(left, right, strict=True)))
+            out.append((row, outer["subroot"].iloc[0], outer["root"].iloc[0], proof, folded(changed, left, right)))
+        return pd.DataFrame(out, columns=["row", "subroot", "root", "proof_sha256", "folded_root"])
+
+    return run
 
 
-def _block() -> Column:
-    return F.floor(F.col("pos") / F.lit(BLOCK)).cast("long").alias("block")
+def _block(levels: int) -> Column:
+    return F.floor(F.col("pos") / F.lit(FANOUT**levels)).cast("long").alias("block")
 
 
-def rounds(nodes: DataFrame, largest: int) -> list[DataFrame]:
+def rounds(nodes: DataFrame, largest: int, levels: int) -> list[DataFrame]:
     """Nodes of each round, those given first, until a tree of ``largest`` nodes has one; small trees stay at one node."""
     found = [nodes]
     while largest > 1:
         now = found[-1].select("tree", "n", "pos", "digest")
-        found.append(cut_lineage(now.groupBy("tree", _block()).applyInPandas(_superblock, NODE)))
-        largest = -(-largest // BLOCK)
+        found.append(cut_lineage(now.groupBy("tree", _block(levels)).applyInPandas(_superblock(levels), NODE)))
+        largest = -(-largest // FANOUT**levels)
     return found
 
 
-def descended(found: list[DataFrame], outer: DataFrame) -> DataFrame:
+def descended(found: list[DataFrame], outer: DataFrame, levels: int) -> DataFrame:
     """Outer nodes (``tree, block``) of the superblocks of the first round, from those of the trees' last nodes."""
     for nodes in found[:0:-1]:
         inner = nodes.select("tree", "n", "pos", "digest")
-        outer = cut_lineage(inner.groupBy("tree", _block()).cogroup(outer.groupBy("tree", "block")).applyInPandas(_outer_of_nodes, OUTER))
+        outer = cut_lineage(inner.groupBy("tree", _block(levels)).cogroup(outer.groupBy("tree", "block")).applyInPandas(_outer_of_nodes(levels), OUTER))
     return outer
 
 
-def manifest(docs: DataFrame, tamper: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tamper: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` for every row of ``docs``.
 
     Each row is a leaf of the tree of its ``lang``, in order of ``doc_id``; rows
@@ -179,15 +191,15 @@ def manifest(docs: DataFrame, tamper: Column | None = None) -> DataFrame:
     nodes = cut_lineage(placed.select("tree", "n", (F.col("no") - F.col("first")).alias("pos"), F.col("leaf").alias("digest"), "changed", F.col("no").alias("row"), "doc_id"))
     trees, most = groups.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
 
-    up = rounds(nodes, most)
+    up = rounds(nodes, most, levels)
     subroots = up[-1].select(F.lit(-1).cast("long").alias("tree"), F.lit(trees).cast("long").alias("n"), F.col("tree").alias("pos"), "digest")
-    above = rounds(subroots, trees)
+    above = rounds(subroots, trees, levels)
     nothing = spark.createDataFrame([], OUTER)
-    top = cut_lineage(above[0].groupBy("tree", _block()).cogroup(descended(above, nothing).groupBy("tree", "block")).applyInPandas(_outer_of_nodes, OUTER))
+    top = cut_lineage(above[0].groupBy("tree", _block(levels)).cogroup(descended(above, nothing, levels).groupBy("tree", "block")).applyInPandas(_outer_of_nodes(levels), OUTER))
     own = subroots.select(F.col("pos").alias("block"), F.col("digest").alias("own"))  # a block of ``top`` is a tree of leaves
     start = top.join(own, "block").select(F.col("block").alias("tree"), F.lit(0).cast("long").alias("block"), "lefts", "rights", F.col("own").alias("subroot"), "root")
-    outer = descended(up, start)
-    proofs = nodes.select("tree", "n", "pos", "digest", "changed", "row").groupBy("tree", _block()).cogroup(outer.groupBy("tree", "block")).applyInPandas(_proofs, PROOF)
+    outer = descended(up, start, levels)
+    proofs = nodes.select("tree", "n", "pos", "digest", "changed", "row").groupBy("tree", _block(levels)).cogroup(outer.groupBy("tree", "block")).applyInPandas(_proofs(levels), PROOF)
     out = nodes.select("row", "doc_id", F.col("digest").alias("leaf")).join(proofs, "row")
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 

@@ -51,9 +51,7 @@ def answers(df):
     return {tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect()}
 
 
-def test_nearest_is_exact_with_factor_one(spark, monkeypatch):
-    monkeypatch.setattr(vp_tree, "BUCKET", 8)
-    monkeypatch.setattr(vp_tree, "BLOCK", 16)
+def test_nearest_is_exact_with_factor_one(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 5))
     points = np.concatenate([centres[rng.integers(0, 6, 500)] + 0.1 * rng.normal(size=(500, 5)), rng.normal(size=(60, 5)) * 20])
@@ -194,22 +192,20 @@ def manifest_by_hand(rows):
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, tree string, digest string, no string"
 
 
-def manifested(spark, rows):
+def manifested(spark, rows, levels=3):
     docs = spark.createDataFrame([(*r, "t", "g", "n") for r in rows], DOCS).repartition(4)
-    return sorted((tuple(r) for r in merkle.manifest(docs, merkle.every_third()).collect()), key=repr)
+    return sorted((tuple(r) for r in merkle.manifest(docs, merkle.every_third(), levels).collect()), key=repr)
 
 
 @pytest.mark.parametrize("levels", [1, 2, 3])
-def test_manifest_like_a_plain_tree(spark, monkeypatch, levels):
+def test_manifest_like_a_plain_tree(spark, levels):
     """Several rounds of superblocks, lone leaves and more langs than a run holds."""
-    monkeypatch.setattr(merkle, "LEVELS", levels)
-    monkeypatch.setattr(merkle, "BLOCK", 8**levels)
     rnd = random.Random(6)
     rows = [(k, rnd.choice(["web", None, "ü"]), "en", rnd.randrange(99), f"Text {k} É {'X' * (k % 7)}") for k in range(600)]
     rows += [(k, "s", f"l{k % 11}", None, rnd.choice([None, "", "ABC", "abc"])) for k in range(700, 760)]
     rows += [(900, "s", None, 3, "Lone"), (None, None, "en", None, None), (None, "a", "en", 1, "N"), (5, "other", "en", 1, "Same id")]
     rows += [(41, "s", "de", 1, "Twice")] * 20 + [(k, "s", "fr", 1, "x") for k in range(9)]
-    assert manifested(spark, rows) == manifest_by_hand(rows)
+    assert manifested(spark, rows, levels) == manifest_by_hand(rows)
 
 
 def test_manifest_of_small_tables(spark):
