@@ -5,20 +5,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.functions.numeric import as_col, clamp
 from strataloom.functions.text import tokens
+from strataloom.operators.search import top_k
+
+__all__ = [
+    "ann_join", "append_index", "cosine", "densify", "dot", "hash_embed", "hash_vectors", "jaccard", "jaccard_pairs", "near_pairs", "set_pairs", "sparse_cosine", "sparsify", "token_sets", "top_k",
+]
 
 DIMENSION = 384
-QUERY_BLOCK_BYTES = 64 << 20
 
 
 # What counts as a word: runs without ASCII white space (rule set 1), letters and digits (rule set 2).
@@ -113,73 +115,6 @@ def jaccard(a, b) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-def _query_blocks(queries: DataFrame, key: str, vector: str, group: str | None):
-    """Query vectors as driver-side blocks of checked size (hash slices when there are many)."""
-    row = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
-    n, d = row["n"], row["d"] or 1
-    slices = max(1, -(-n * d * 16 // QUERY_BLOCK_BYTES))
-    for s in range(slices):
-        part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(slices)) == s)
-        yield part.select(key, F.col(vector).alias("v"), *( [F.col(group).alias("g")] if group else [])).toPandas()
-
-
-def top_k(
-    queries: DataFrame, items: DataFrame, k: int, query_key: str = "query_id", item_key: str = "item_id", vector: str = "vector",
-    group: str | None = None, prefilter: bool = True, skip_self: bool = False,
-) -> DataFrame:
-    """Exact inner-product top-k per query: ``query_key, item_key, score, rank``.
-
-    Query blocks of checked size travel to the item partitions, each partition
-    gives its own best rows (a numpy product per Arrow batch) and a limited
-    window merges them, so neither side is crossed row by row. ``group`` keeps
-    items of the query's group only: before ranking (``prefilter``) or after
-    fetching 4k rows, as a flat index with a late filter does.
-    """
-    spark = queries.sparkSession
-    q_type, i_type = queries.schema[query_key].dataType, items.schema[item_key].dataType
-    schema = T.StructType([
-        T.StructField(query_key, q_type), T.StructField(item_key, i_type), T.StructField("score", T.DoubleType()), T.StructField("same", T.BooleanType()),
-    ])
-    fetch = k if prefilter or not group else 4 * k
-    cols = [item_key, F.col(vector).alias("v")] + ([F.col(group).alias("g")] if group else [])
-    out = None
-    for block in _query_blocks(queries, query_key, vector, group):
-        if block.empty:
-            continue
-        matrix = np.array(block["v"].tolist(), dtype=np.float64)
-        ids = block[query_key].to_numpy()
-        groups = block["g"].to_numpy() if group else None
-
-        def score(batches: Iterator[pd.DataFrame], matrix=matrix, ids=ids, groups=groups) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                found = np.array(pdf["v"].tolist(), dtype=np.float64) @ matrix.T
-                item_ids = pdf[item_key].to_numpy()
-                same = np.ones(found.shape, bool) if groups is None else pdf["g"].to_numpy()[:, None] == groups[None, :]
-                usable = np.ones(found.shape, bool)
-                if skip_self:
-                    usable &= item_ids[:, None] != ids[None, :]
-                if groups is not None and prefilter:
-                    usable &= same
-                ranked = np.where(usable, found, -np.inf)
-                keep = min(fetch, ranked.shape[0])
-                # Ties at the edge are kept so the final order does not depend on the batches.
-                edge = -np.partition(-ranked, keep - 1, axis=0)[keep - 1]
-                rows, cols_ = np.nonzero((ranked >= edge[None, :]) & np.isfinite(ranked))
-                yield pd.DataFrame({query_key: ids[cols_], item_key: item_ids[rows], "score": found[rows, cols_], "same": same[rows, cols_]})
-
-        part = items.select(*cols).mapInPandas(score, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema).drop("same").withColumn("rank", F.lit(0))
-    order = W.partitionBy(query_key).orderBy(F.desc("score"), item_key)
-    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fetch)
-    if group and not prefilter:
-        best = best.where("same").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(query_key, item_key, "score", "rank")
-
-
 def append_index(df: DataFrame, path: str, key: str, text: str = "text", gen: int = 1) -> None:
     """Embed texts and append them to a vectors table."""
     hash_embed(df, key, text, gen).write.mode("append").parquet(path)
