@@ -8,7 +8,8 @@ from strataloom.functions.numeric import rnd
 from strataloom.operators import chunking, evaluate, graph, retrieve, vectors, wiki
 from strataloom.plans import base, graphs
 from strataloom.plans.registry import query
-from strataloom.plans.text import words_sql
+from strataloom.plans.text import chunks_sql, words_sql
+from strataloom.plans.vectors import ranked_sql, vectors_sql
 from strataloom.session import load
 
 PROMPT_SQL = "p AS (SELECT conv_id || '-' || turn AS prompt_id, conv_id, text FROM conversations WHERE role = 'user')"
@@ -164,13 +165,17 @@ def passage_hits(spark, sf_dir, k: int = 5):
         chunks = chunking.chunk(load(spark, sf_dir, "documents")).withColumn("chunk_id", F.concat_ws("-", "doc_id", "idx"))
         items = vectors.hash_vectors(chunks, "chunk_id")
         asks = vectors.hash_vectors(prompts(spark, sf_dir), "prompt_id")
-        found = vectors.top_k(asks, items, k, "prompt_id", "chunk_id")
+        found = vectors.top_k(asks, items, k, "prompt_id", "chunk_id", digits=9)
         return found.join(chunks.select("chunk_id", "text"), "chunk_id")
 
     return base.kept(spark, sf_dir, f"passages{k}", make)
 
 
-@query("vector_passages")
+@query(
+    "vector_passages",
+    f"""WITH {PROMPT_SQL}, c AS ({chunks_sql()}), q AS (SELECT prompt_id AS key, text FROM p), i AS (SELECT doc_id || '-' || idx AS key, text FROM c), {vectors_sql('qv', 'q')}, {vectors_sql('iv', 'i')},
+r AS ({ranked_sql('q', 'i', 'qv', 'iv', 5)}) SELECT query AS prompt_id, item AS chunk_id, round(score, 6) AS score, "rank" FROM r""",
+)
 def vector_passages(spark, sf_dir):
     return passage_hits(spark, sf_dir).select("prompt_id", "chunk_id", rnd("score", 6).alias("score"), "rank")
 
@@ -206,7 +211,13 @@ def matched(spark, sf_dir):
     return asks, profs, base.kept(spark, sf_dir, "profile_matches", lambda: retrieve.match_profiles(asks, profs))
 
 
-@query("profile_matches")
+@query(
+    "profile_matches",
+    f"""WITH k AS (SELECT conv_id || '-' || turn AS key, role, text FROM conversations), q AS (SELECT * FROM k WHERE role = 'user'), i AS (SELECT * FROM k WHERE role = 'system'), {vectors_sql('qv', 'q')}, {vectors_sql('iv', 'i')},
+r AS ({ranked_sql('q', 'i', 'qv', 'iv', 1)}), s AS (SELECT q.key AS prompt_id, item AS profile_id, coalesce(round(100.0::DOUBLE * (score / 2 + 0.5), 1), 0)::DOUBLE AS match_score FROM q LEFT JOIN r ON r.query = q.key)
+SELECT *, CASE WHEN match_score >= 80 THEN 'reuse' WHEN match_score >= 50 THEN 'modify' ELSE 'create' END AS decision, round(0.044::DOUBLE * greatest(0.05, 1.0 - match_score / 100.0 * 0.9), 4)::DOUBLE AS estimated_cost,
+  least(95.0, round(match_score * 0.82::DOUBLE, 1))::DOUBLE AS token_saving_pct FROM s""",
+)
 def profile_matches(spark, sf_dir):
     return retrieve.decision_costs(matched(spark, sf_dir)[2])
 
