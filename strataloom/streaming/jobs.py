@@ -6,9 +6,13 @@ it, so a batch that is run again after a failure leaves the same result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strataloom.functions.ids import edge_key
 from strataloom.functions.numeric import rnd
@@ -32,23 +36,51 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def _keep_state_on_disk(spark: SparkSession) -> None:
+    """State in RocksDB, of which a batch uploads only its changes; a query that goes on keeps the store it began with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def _mark(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of one checksum: the first of all batches, by (null, key) within its batch, is the original.
+
+    Only the least row so far is held back, so a checksum with very many rows streams through.
+    """
+    fresh, held = not state.exists, None
+    for frame in frames:
+        out = frame.assign(duplicate=True)
+        if fresh:
+            both = out if held is None else pd.concat([held, out], ignore_index=True)
+            at = both.sort_values(["no_key", "k"], kind="stable").index[0]
+            held, out = both.loc[[at]], both.drop(index=at)
+        yield out
+    if held is not None:
+        state.update((True,))
+        yield held.assign(duplicate=False)
+
+
 def dedup(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
     """Mark arriving texts that were seen before, against the whole history.
 
-    Writes ``key, sha, duplicate``; the first key of a checksum is the original.
+    Writes ``key, sha, duplicate``; the first batch's smallest key of a checksum is
+    the original, a null key comes last, null texts are copies of each other. The
+    history is one bit of keyed state per checksum: a batch looks up its own
+    checksums and reads nothing that earlier batches wrote.
     """
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, sha string, duplicate boolean, batch_id long"
+    _keep_state_on_disk(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    sums = docs.select(
+        F.coalesce(F.sha2(F.encode(text, "UTF-8"), 256), F.lit("")).alias("sha"), F.col(key).isNull().alias("no_key"),
+        F.coalesce(F.col(key), F.lit("0").cast(kind)).alias("k"),
+    )
+    marked = sums.groupBy("sha").applyInPandasWithState(_mark, f"sha string, no_key boolean, k {kind}, duplicate boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = marked.select(F.when(~F.col("no_key"), F.col("k")).alias(key), F.nullif("sha", F.lit("")).alias("sha"), "duplicate")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        sums = batch.select(key, F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"))
-        seen = _read(spark, out, schema).where((F.col("batch_id") < batch_id) & ~F.col("duplicate")).select("sha", F.lit(True).alias("old"))
-        first = sums.groupBy("sha").agg(F.min(key).alias("first"))
-        marked = sums.join(first, "sha").join(seen, "sha", "left")
-        flag = F.col("old").isNotNull() | (F.col(key) != F.col("first"))
-        marked.select(key, "sha", flag.alias("duplicate")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return _start(docs, each, checkpoint)
+    return _start(rows, each, checkpoint)
 
 
 def dedup_within(docs: DataFrame, stamp: str, delay: str = "7 days", text: str = "text") -> DataFrame:
@@ -56,40 +88,72 @@ def dedup_within(docs: DataFrame, stamp: str, delay: str = "7 days", text: str =
     return docs.withColumn("sha", F.sha2(F.encode(text, "UTF-8"), 256)).withWatermark(stamp, delay).dropDuplicatesWithinWatermark(["sha"])
 
 
-NODE_SCHEMA = "id string, label string, entity_type string, confidence double, batch_id long"
-EDGE_SCHEMA = "source string, target string, relation string, confidence double, batch_id long"
+NODE_SCHEMA = "id string, label string, entity_type string, confidence double"
+EDGE_SCHEMA = "source string, target string, relation string, confidence double"
 
 
 def graph_upsert(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
     """Extract each arriving batch and merge its graph into the stored one.
 
-    A batch writes a new version of both tables; the newest version is the graph.
+    A batch writes its own nodes and edges and reads nothing of earlier ones. As
+    merging is associative (the oldest label, the largest confidence),
+    :func:`read_graph` merges what was written, and :func:`compact_graph` does so
+    now and then for good.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         pieces = chunking.chunk(batch, key)
         nodes, edges = graph.build(extract.entities(pieces, key), extract.relations(pieces, key))
         nodes = nodes.withColumn("confidence", rnd(0.5 + 0.01 * F.least(F.lit(20), F.col("mentions"))))
         edges = edges.withColumn("confidence", rnd(0.4 + 0.01 * F.least(F.lit(20), F.col("mentions"))))
-        old_n, old_e = _version(spark, f"{out}/nodes", NODE_SCHEMA, batch_id), _version(spark, f"{out}/edges", EDGE_SCHEMA, batch_id)
-        graph.upsert_nodes(old_n, nodes).drop("status").write.mode("overwrite").parquet(f"{out}/nodes/batch_id={batch_id}")
-        graph.upsert_edges(old_e, edges).drop("status", "edge_key").write.mode("overwrite").parquet(f"{out}/edges/batch_id={batch_id}")
+        nodes.select("id", "label", "entity_type", "confidence").write.mode("overwrite").parquet(f"{out}/nodes/batch_id={batch_id}")
+        edges.select("source", "target", "relation", "confidence").write.mode("overwrite").parquet(f"{out}/edges/batch_id={batch_id}")
 
     return _start(docs, each, checkpoint)
 
 
-def _version(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    rows = _read(spark, path, schema).where(F.col("batch_id") < before)
-    newest = rows.agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(F.broadcast(newest), "batch_id").drop("batch_id")
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Last batches of the complete compactions of a table, the newest at the end."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/base_*/_SUCCESS")
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("base_")) for f in found)
+
+
+def _merged(spark: SparkSession, path: str, schema: str, upto: int = 1 << 62) -> DataFrame:
+    """Newest compaction and the batches after it, up to one, as rows of one graph table."""
+    bases = [b for b in _bases(spark, f"{path}_base") if b <= upto]
+    rows = _read(spark, path, f"{schema}, batch_id long").where(F.col("batch_id") <= upto)
+    if bases:
+        base = spark.read.schema(schema).parquet(f"{path}_base/base_{bases[-1]}").withColumn("batch_id", F.lit(-1).cast("long"))
+        rows = rows.where(F.col("batch_id") > bases[-1]).unionByName(base)
+    return rows
+
+
+def _node_rows(rows: DataFrame) -> DataFrame:
+    age = lambda c: F.struct("batch_id", c)
+    return rows.groupBy("id").agg(
+        F.min_by("label", age("label")).alias("label"), F.min_by("entity_type", age("entity_type")).alias("entity_type"), rnd(F.max("confidence")).alias("confidence")
+    )
+
+
+def _edge_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("source <> target").groupBy("source", "target", "relation").agg(rnd(F.max("confidence")).alias("confidence"))
 
 
 def read_graph(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """Newest version of the nodes and edges, with edge keys."""
-    far = 1 << 62
-    edges = _version(spark, f"{out}/edges", EDGE_SCHEMA, far)
-    return _version(spark, f"{out}/nodes", NODE_SCHEMA, far), edges.withColumn("edge_key", edge_key("source", "relation", "target"))
+    """The nodes and edges of all batches so far, with edge keys."""
+    edges = _edge_rows(_merged(spark, f"{out}/edges", EDGE_SCHEMA))
+    return _node_rows(_merged(spark, f"{out}/nodes", NODE_SCHEMA)), edges.withColumn("edge_key", edge_key("source", "relation", "target"))
+
+
+def compact_graph(spark: SparkSession, out: str, upto: int) -> None:
+    """Merge all batches up to ``upto`` (a finished one) into one version of each table.
+
+    Readers take the newest complete version, so a run that breaks off changes
+    nothing. Earlier versions and the merged batches may be deleted afterwards.
+    """
+    for name, schema, merge in (("nodes", NODE_SCHEMA, _node_rows), ("edges", EDGE_SCHEMA, _edge_rows)):
+        merge(_merged(spark, f"{out}/{name}", schema, upto)).write.mode("overwrite").parquet(f"{out}/{name}_base/base_{upto}")
 
 
 def memory(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
