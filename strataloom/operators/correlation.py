@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.functions.numeric import clamp, count_if, rnd
-from strataloom.operators.ranks import average_ranks, number
+from strataloom.operators.ranks import number, rank_rows
 from strataloom.operators.stats import moments, numeric_columns
 
 
@@ -68,11 +68,8 @@ def pairs(df: DataFrame, cols=None, spearman: bool = True) -> DataFrame:
 def spearman_pairs(df: DataFrame, cols) -> DataFrame:
     """``left, right, spearman``: Pearson over average ranks."""
     names = list(combinations(cols, 2))
-    ranked = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(cols)]).dropna()
-    base = ranked
-    for i in range(len(cols)):
-        look = average_ranks(base, f"v{i}").select(F.col("value").alias(f"v{i}"), F.col("avg_rank").alias(f"r{i}"))
-        ranked = ranked.join(look, f"v{i}")
+    ranked = df.select(*[number(c).alias(f"r{i}") for i, c in enumerate(cols)]).dropna()
+    ranked = rank_rows(ranked, ranked.columns)
     row = ranked.agg(*_pair_aggregates(ranked, [f"r{i}" for i in range(len(cols))], "s"))
     cells = [
         F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), rnd(_pearson("s", k)).alias("spearman"))

@@ -3,17 +3,22 @@
 ``order_statistics`` narrows every wanted rank to a value bracket with a
 mergeable sketch, counts exactly what lies below the bracket, and sorts only
 the values inside it. ``average_ranks`` ranks a whole column by splitting its
-distinct values over buckets at sketch quantiles.
+distinct values over buckets at sketch quantiles. ``rank_rows`` puts ranks in
+the place of values row by row, over range partitions with offsets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.session import cut_lineage
+
 ACCURACY = 10_000
 SORT_LIMIT = 1_000_000
 
@@ -149,6 +154,115 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None) -> DataFr
     )
 
 
+Batches = Iterator[pa.RecordBatch]
+ENDS = "part int, n long, first double, first_run long, last double, last_run long"
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
+def _ends(col: str) -> Callable[[Batches], Batches]:
+    """Rows of a sorted partition, with its first and last value and how often it holds them."""
+
+    def run(batches: Batches) -> Batches:
+        part, n, first, first_run, last, last_run = None, 0, None, 0, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(col).to_numpy()
+            if part is None:
+                part, first = batch.column("_part")[0].as_py(), values[0]
+            first_run += int((values == first).sum())
+            tail = int((values == values[-1]).sum())
+            last_run = tail + (last_run if values[0] == values[-1] == last else 0)
+            last, n = values[-1], n + len(values)
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [n], "first": [first], "first_run": [first_run], "last": [last], "last_run": [last_run]})
+
+    return run
+
+
+def _spans(ends: list) -> dict[int, tuple[int, dict[float, float]]]:
+    """For each partition the rows before it and the average ranks of its first and last value, which others may hold too."""
+    low: dict[float, int] = {}
+    high: dict[float, int] = {}
+    before, starts = 0, {}
+    for e in sorted(ends, key=lambda e: e["part"]):
+        starts[e["part"]] = before
+        low.setdefault(e["first"], before)
+        high[e["first"]] = before + e["first_run"]
+        before += e["n"]
+        low.setdefault(e["last"], before - e["last_run"])
+        high[e["last"]] = before
+    return {e["part"]: (starts[e["part"]], {v: (low[v] + high[v] + 1) / 2 for v in (e["first"], e["last"])}) for e in ends}
+
+
+def _ranked(col: str, spans: dict[int, tuple[int, dict[float, float]]]) -> Callable[[Batches], Batches]:
+    """Average ranks in the place of a sorted column's values; only the rows of the run that is still open are held."""
+
+    def run(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        value, at, edges = None, 0, {}
+
+        def closed() -> Batches:
+            """The held run, all of one value."""
+            n = sum(b.num_rows for b in held)
+            rank = edges.get(value, at + (n + 1) / 2)
+            yield from (_with(b, col, np.full(b.num_rows, rank)) for b in held)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(col).to_numpy()
+            if value is None:
+                at, edges = spans[batch.column("_part")[0].as_py()]
+            starts = _starts(values)
+            if held and values[0] == value and len(starts) > 1:
+                held.append(batch.slice(0, starts[1]))
+                batch, values, starts = batch.slice(starts[1]), values[starts[1] :], starts[1:] - starts[1]
+            if held and values[0] != value:
+                yield from closed()
+                at += sum(b.num_rows for b in held)
+                held = []
+            inside = starts[-1]  # runs before it end here
+            if inside:
+                sizes = np.diff(starts)
+                ranks = at + starts[:-1] + (sizes + 1) / 2
+                for k in (0, len(sizes) - 1):
+                    ranks[k] = edges.get(values[starts[k]], ranks[k])
+                yield _with(batch.slice(0, inside), col, np.repeat(ranks, sizes))
+                at += inside
+            held.append(batch.slice(inside))
+            value = values[-1]
+        if held:
+            yield from closed()
+
+    return run
+
+
+def _with(batch: pa.RecordBatch, col: str, values: np.ndarray) -> pa.RecordBatch:
+    return batch.set_column(batch.schema.get_field_index(col), col, pa.array(values, pa.float64()))
+
+
+def rank_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` with the values of its double columns ``cols`` (no nulls) replaced by average 1-based ranks.
+
+    Column by column, rows are dealt to range partitions of value and row
+    number, so a hot value fills several. A partition's ends and size are all that
+    reaches the driver; with them a second look ranks each partition alone.
+    Rows keep their other columns, and nothing is joined.
+    """
+    rows = cut_lineage(df).withColumn("_row", F.monotonically_increasing_id())
+    for col in cols:
+        dealt = cut_lineage(rows.withColumn(col, F.col(col) + F.lit(0.0)).repartitionByRange(col, "_row").sortWithinPartitions(col, "_row"))
+        dealt = dealt.withColumn("_part", F.spark_partition_id())
+        spans = _spans(dealt.select("_part", col).mapInArrow(_ends(col), ENDS).collect())
+        rows = dealt.mapInArrow(_ranked(col, spans), dealt.schema).drop("_part")
+    return rows.drop("_row")
+
+
 def row_index(df: DataFrame, key: str, by=(), buckets: int | None = None, name: str = "row_idx") -> DataFrame:
     """0-based position by a unique numeric ``key`` within ``by``, for groups of any size.
 
