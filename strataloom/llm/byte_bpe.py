@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -26,7 +27,9 @@ from strataloom.llm.common import Batches, chained, columns, packed, slices
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-CACHED = 150_000  # pieces and chunks that a worker keeps, each; workers live on beside later stages
+KEPT_BYTES = 40 << 20  # of the results of each of the two generations that a worker keeps; workers live on beside later stages
+KEPT_PAIRS = 1 << 17
+ENTRY = 160  # bytes of an entry besides its key and value
 
 
 class Ranks:
@@ -38,16 +41,19 @@ class Ranks:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.longest = max(map(len, ranks))
-        self.halves: list[tuple[int, int]] = [(r, r) for r in range(len(self.bytes_of))]
         self.merged: dict[tuple[int, int], int] = {}
         self.whole = [len(token) == 1 for token in self.bytes_of]
-        for rank, token in enumerate(self.bytes_of):
+        # What stands at a token's left and right edge while its bytes are merged, from a byte to the token.
+        self.left_edge: list[tuple[int, ...]] = [(r,) for r in range(len(self.bytes_of))]
+        self.right_edge = list(self.left_edge)
+        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 parts = self._merge_below(token, rank)
                 if len(parts) == 2:
-                    self.halves[rank] = (parts[0], parts[1])
                     self.merged[parts[0], parts[1]] = rank
                     self.whole[rank] = True
+                    self.left_edge[rank] = (*self.left_edge[parts[0]], rank)
+                    self.right_edge[rank] = (*self.right_edge[parts[1]], rank)
         self.ends = {token[k:]: -1 for token in ranks for k in range(1, len(token))} | ranks
         self.known: dict[int, bool] = {}
 
@@ -63,34 +69,34 @@ class Ranks:
 
     def beside(self, left: int, right: int) -> bool:
         """Whether ``left, right`` is itself the encoding of the bytes of both."""
-        if len(self.known) > 500_000:
+        if len(self.known) >= KEPT_PAIRS:
             self.known.clear()
-        found = self.known[left << 32 | right] = self._check(left, right)
+        found = self.known[left << 32 | right] = not self._meets(left, right)
         return found
 
-    def _check(self, left: int, right: int) -> bool:
-        """Undo the youngest merge on either side of the border, again and again.
+    def _meets(self, left: int, right: int) -> bool:
+        """Whether a merge across the border comes up while the bytes of both tokens are merged.
 
-        At each point of that history the two tokens that touch the border must
-        not have merged before the merge that is undone next.
+        Merges happen in the order of their ranks, at one rank from left to right. The
+        two edges at the border therefore grow in a known order; played forward,
+        the border merge wins if its rank is below that of the next merge of the
+        left token and not above that of the right one.
         """
-        undone = len(self.bytes_of)
+        ours, theirs = self.right_edge[left], self.left_edge[right]
+        never = len(self.bytes_of)
+        i, j, across = 0, 0, self.merged.get
         while True:
-            across = self.merged.get((left, right))
-            if across is not None and across < undone:
+            grows_left = ours[i + 1] if i + 1 < len(ours) else never
+            grows_right = theirs[j + 1] if j + 1 < len(theirs) else never
+            border = across((ours[i], theirs[j]), never)
+            if border < grows_left and border <= grows_right and border < never:
+                return True
+            if grows_left == grows_right == never:
                 return False
-            if left > right:
-                undone, left = left, self.halves[left][1]
-                if left == undone:
-                    undone, right = right + 1, self.halves[right][0]
-                    if right + 1 == undone:
-                        return True
+            if grows_left <= grows_right:
+                i += 1
             else:
-                undone, right = right + 1, self.halves[right][0]
-                if right + 1 == undone:
-                    undone, left = left, self.halves[left][1]
-                    if left == undone:
-                        return True
+                j += 1
 
 
 class Prefixes:
@@ -164,16 +170,15 @@ class Encoder:
             self.ranks = Ranks({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
         # the tokenizer's white space is the Unicode property, without the information separators
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.piece = _Kept(lambda piece: self._piece(piece.encode()))
-        self.first = _Kept(self._chunk)
-        self.later = _Kept(lambda chunk: self._chunk(" " + chunk))
+        self.kept = _Kept(self._chunk)
 
     def _piece(self, piece: bytes) -> bytes:
         whole = self.ranks.ranks.get(piece)
-        return b"".join([i.to_bytes(4, "little") for i in ([whole] if whole is not None else Prefixes(self.ranks, piece).tokens())])
+        ids = [whole] if whole is not None else Prefixes(self.ranks, piece).tokens()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.piece[p] for p in self.pieces(chunk)])
+        return b"".join([self._piece(p.encode()) if p == chunk else self.kept[p] for p in self.pieces(chunk)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers.
@@ -181,10 +186,7 @@ class Encoder:
         A single space between two other characters always starts a piece, so
         the chunks between such spaces are encoded on their own.
         """
-        if UNEVEN(text):
-            return self._chunk(text)
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join([self.later[chunk] for chunk in rest])
+        return b"".join([self.kept[chunk] for chunk in (self.pieces(text) if UNEVEN(text) else CHUNKS(text))])
 
     def decode(self, ids: bytes) -> bytes:
         of = self.ranks.bytes_of
@@ -192,22 +194,28 @@ class Encoder:
 
 
 class _Kept(dict):
-    """Results by key, started anew when too many are held."""
+    """Results by key in two generations: what is asked for again outlives the older one, which goes when the younger is full."""
 
     def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+        self.make, self.older, self.size = make, {}, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
             self[key] = value
+            self.size += ENTRY + len(key) + len(value)
+            if self.size > KEPT_BYTES:
+                self.older, self.size = dict(self), 0
+                self.clear()
         return value
 
 
 #: White space at an end or two in a row.
 UNEVEN = re.compile(r"\A\s|\s\s|\s\Z").search
+#: Chunks of any other text, with the space before them.
+CHUNKS = re.compile(r" ?[^ ]+").findall
 
 
 @lru_cache(maxsize=2)
@@ -237,6 +245,7 @@ def digest_batches(path: str, pattern: str, with_ids: bool = False) -> Callable[
                     yield doc, len(ids) // 4, hashlib.sha256(shown).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), *([ids] if with_ids else [])
 
         yield from packed(rows(), DIGEST.append(ENCODED.field("ids")) if with_ids else DIGEST, lambda row: 150 + 4 * row[1] * with_ids)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import row_key
+from strataloom.llm.common import free_names, row_key
 from strataloom.session import cut_lineage
 
 WINDOW = 10
@@ -110,9 +110,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, block:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of an item."""
-    hit = cut_lineage(decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct())
-    gone = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+    """The rows of ``docs``, all columns, that hold no window of an item.
+
+    Null and empty texts hold none and stay; repeated rows go or stay together;
+    rows of one id, null too, are judged each by its text. Columns of any name
+    pass through; without items or rows nothing changes.
+    """
+    doc, key = free_names(docs, "_d", "_k")
+    found = decontaminate(docs.select("doc_id", "text"), items).where("contaminated")
+    hit = cut_lineage(found.select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct())
+    gone = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(key))
     return docs.join(F.broadcast(hit) if hit.count() <= SENT else hit, gone, "left_anti")
 
 

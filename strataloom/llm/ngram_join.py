@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm import sketch
-from strataloom.llm.common import Batches, columns, linked, mixed, packed, rolling, slices
+from strataloom.llm.common import Batches, columns, free_names, linked, mixed, packed, rolling, slices
 from strataloom.session import cut_lineage
 
 SHINGLE = 5
@@ -281,8 +281,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the smallest of their component; those without words stay.
 
-    Repeated rows are one document and stay together.
+    Repeated rows are one document and stay together, as do all rows of a null id that link with no other. Columns of
+    any name pass through; an empty table stays empty.
     """
-    dropped = cut_lineage(near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r")))
-    gone = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_r"))
+    doc, row = free_names(docs, "_d", "_r")
+    found = near_duplicates(docs.select("doc_id", "text")).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    dropped = cut_lineage(found.select(F.col("doc_id").alias(doc), F.col("row").alias(row)))
+    gone = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(row))
     return docs.join(_sent(dropped), gone, "left_anti")

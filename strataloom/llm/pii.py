@@ -182,14 +182,14 @@ class Pseudonyms:
         return self.found.sub(put, text), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
-    """``docs`` with ``text`` replaced and the long columns ``n_email, n_ip, n_card, n_phone, n_ssn, n_date`` behind.
+def pseudonymise(docs: DataFrame, key: bytes, back: bool = False, counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` replaced and, with ``counts``, the long columns ``n_email, n_ip, n_card, n_phone, n_ssn, n_date`` behind.
 
-    All other columns pass through, apart from such that bear those names. Row
+    All other columns pass through, apart from such that bear the counts' names. Row
     by row, without a shuffle; null and empty texts stay as they are; repeated
     rows are treated alike. ``back`` undoes it under the same key.
     """
-    counted = [f"n_{kind}" for kind in KINDS]
+    counted = [f"n_{kind}" for kind in KINDS] if counts else []
     kept = [c for c in docs.columns if c not in counted]
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in counted)])
 
@@ -198,7 +198,7 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
         for part in slices(batches):
             done = [own.text(t, back) for t in part.column("text").to_pylist()]
             arrays = [part.column(c) if c != "text" else pa.array([t for t, _ in done], part.schema.field("text").type) for c in kept]
-            arrays += [pa.array([n[k] for _, n in done], pa.int64()) for k in range(len(KINDS))]
+            arrays += [pa.array([n[k] for _, n in done], pa.int64()) for k in range(len(counted))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *counted])
 
     return docs.select(*kept).mapInArrow(run, schema)

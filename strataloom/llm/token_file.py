@@ -140,7 +140,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # one id each, wherever they stand
         self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
@@ -153,7 +153,7 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         plain = _PLAIN(word)
-        if plain is None:
+        if plain is None or any(m in word for m in self.marks):
             return self._other(word)
         before, run, after = plain.groups()
         run = run.lower()

@@ -172,7 +172,12 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataF
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic; row by row, without a shuffle."""
+    """The rows of ``docs``, all columns, that are not predicted toxic; row by row, without a shuffle.
+
+    A null text is scored as an empty one, equal texts alike; null ids and repeated
+    rows are judged by their text. Without labels no text is rejected more than an
+    empty one; an empty table stays empty.
+    """
     weights, intercept = learn(docs, labels, sample)
 
     def run(batches: Batches) -> Batches:
