@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and mail names become pseudonyms."""
-    return pii.pseudonymise(docs, KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.pseudonymise(docs, KEY, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
