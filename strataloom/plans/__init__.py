@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("tabular", "rules", "whole", "text", "extraction", "vectors", "knowledge", "graphs", "scores", "retrieval", "reports", "streams")
+AREAS = ("tabular", "rules", "whole", "text", "extraction", "vectors", "knowledge", "graphs", "scores", "retrieval", "reports", "streams", "stores")
 
 
 def load_all() -> None:
