@@ -10,6 +10,7 @@ entries are rewritten up to the first place where old and new agree again.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import struct
@@ -23,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Batches, chained, columns, packed, slices
+from strataloom.llm.common import Batches, chained, columns, lean, packed, slices
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-KEPT_BYTES = 40 << 20  # of the results of each of the two generations that a worker keeps; workers live on beside later stages
-KEPT_PAIRS = 1 << 17
+KEPT_BYTES = 24 << 20  # of the results of each of the two generations that a worker keeps; workers live on beside later stages
+KEPT_PAIRS = 1 << 16
+TOGETHER = 1 << 20  # characters of texts that are encoded together
 ENTRY = 160  # bytes of an entry besides its key and value
 
 
@@ -56,6 +58,7 @@ class Ranks:
                     self.right_edge[rank] = (*self.right_edge[parts[1]], rank)
         self.ends = {token[k:]: -1 for token in ranks for k in range(1, len(token))} | ranks
         self.known: dict[int, bool] = {}
+        self.many = Many(self)
 
     def _merge_below(self, token: bytes, limit: int) -> list[int]:
         """What the bytes of a token are before the merge that makes it."""
@@ -162,6 +165,115 @@ class Prefixes:
         return found[::-1]
 
 
+class Table:
+    """Whole numbers looked up by whole numbers, many at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(len(keys) * 3).bit_length()))
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.values = np.full(len(self.keys), -1, np.int32)
+        slot, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            _, first = np.unique(slot[rest], return_index=True)
+            rest_free = rest[first][self.keys[slot[rest[first]]] < 0]
+            self.keys[slot[rest_free]], self.values[slot[rest_free]] = keys[rest_free], values[rest_free]
+            rest = rest[self.keys[slot[rest]] != keys[rest]]
+            slot[rest] = (slot[rest] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, -1 for those that are not there."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) % len(self.keys)
+            there = self.keys[slot[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[~hit & (there >= 0)]
+        return out
+
+
+class Many:
+    """The last tokens of all prefixes of many short pieces, one position of all pieces at a time."""
+
+    WIDTH = 32  # bytes; longer pieces are filled alone
+    PAIRS = 18  # binary logarithm of the pairs that are remembered
+
+    def __init__(self, ranks: Ranks):
+        self.ranks = ranks
+        nodes: dict[int, int] = {}
+        ends = [-1]
+        for token, rank in ranks.ranks.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                if key not in nodes:
+                    nodes[key] = len(ends)
+                    ends.append(-1)
+                node = nodes[key]
+            ends[node] = rank
+        self.step = Table(np.fromiter(nodes.keys(), np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)))
+        self.token_of = np.array(ends, np.int32)
+        self.whole = np.array(ranks.whole)
+        self.length = np.array([len(t) for t in ranks.bytes_of], np.int64)
+        self.pairs, self.fit = np.full(1 << self.PAIRS, -1, np.int64), np.zeros(1 << self.PAIRS, bool)
+
+    def beside(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.PAIRS)).astype(np.int64)
+        out, new = self.fit[slot], np.flatnonzero(self.pairs[slot] != keys)
+        if len(new):
+            once, where = np.unique(keys[new], return_inverse=True)
+            fits = np.array([not self.ranks._meets(k >> 32, k & 0xFFFFFFFF) for k in once.tolist()])
+            out[new] = fits[where]
+            self.pairs[slot[new]], self.fit[slot[new]] = keys[new], out[new]  # of several pairs in one place the last stays, with its own answer
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece of at most ``WIDTH`` bytes, as little-endian unsigned 32-bit integers."""
+        if not pieces:
+            return []
+        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
+        size = np.array([len(pieces[k]) for k in order], np.int64)
+        width = int(size[0])
+        data = np.frombuffer(b"".join([pieces[k].ljust(width, b"\0") for k in order]), np.uint8).reshape(-1, width).astype(np.int64)
+        last = np.full(data.shape, -1, np.int32)
+        for end in range(1, width + 1):
+            rows = np.arange(np.searchsorted(-size, -end, side="right"))
+            node = np.zeros(len(rows), np.int64)
+            for start in range(end - 1, -1, -1):
+                node = self.step.get(node << 8 | data[rows, start]).astype(np.int64)
+                if (node < 0).any():
+                    break
+                token = self.token_of[node]
+                fits = token >= 0
+                at = np.flatnonzero(fits)
+                fits[at] = self.beside(last[rows[at], start - 1], token[at]) if start else self.whole[token[at]]
+                last[rows[fits], end - 1] = token[fits]
+                rows, node = rows[~fits], node[~fits]
+                if not len(rows):
+                    break
+            if len(rows):
+                raise ValueError("a byte is no token")
+        found, end, all_ = [], size.copy(), np.arange(len(size))
+        while (end > 0).any():
+            token = np.where(end > 0, last[all_, np.maximum(end, 1) - 1], -1)
+            end -= np.where(end > 0, self.length[token], 0)
+            found.append(token)
+        ids = np.stack(found[::-1], axis=1)
+        kept = ids >= 0
+        raw, stops = ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        out = [b""] * len(pieces)
+        for k, a, b in zip(order, [0, *stops], stops, strict=False):
+            out[k] = raw[a:b]
+        return out
+
+
 class Encoder:
     """Encodes texts piece by piece; pieces seen before are looked up."""
 
@@ -170,46 +282,66 @@ class Encoder:
             self.ranks = Ranks({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
         # the tokenizer's white space is the Unicode property, without the information separators
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.kept = _Kept(self._chunk)
+        self.kept = _Kept()
+        self.single = {}  # pieces that are one token
+        for token, rank in self.ranks.ranks.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                self.single[token.decode()] = struct.pack("<I", rank)
 
     def _piece(self, piece: bytes) -> bytes:
-        whole = self.ranks.ranks.get(piece)
-        ids = [whole] if whole is not None else Prefixes(self.ranks, piece).tokens()
+        ids = Prefixes(self.ranks, piece).tokens()
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self._piece(p.encode()) if p == chunk else self.kept[p] for p in self.pieces(chunk)])
-
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers.
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers.
 
         A single space between two other characters always starts a piece, so
-        the chunks between such spaces are encoded on their own.
+        the chunks between such spaces are encoded on their own. Pieces that are
+        new in these texts are filled together.
         """
-        return b"".join([self.kept[chunk] for chunk in (self.pieces(text) if UNEVEN(text) else CHUNKS(text))])
+        split = [self.pieces(t) if UNEVEN(t) else CHUNKS(t) for t in texts]
+        known = {chunk: self.kept.find(chunk) for chunk in set().union(*split)}
+        parts = {chunk: self.pieces(chunk) for chunk, ids in known.items() if ids is None}
+        ids = {p: known.get(p) or self.kept.find(p) or self.single.get(p) for own in parts.values() for p in own}
+        new = [p for p, found in ids.items() if found is None]
+        raw = [p.encode() for p in new]
+        short = [k for k, r in enumerate(raw) if len(r) <= Many.WIDTH]
+        ids.update(zip([new[k] for k in short], self.ranks.many.encode([raw[k] for k in short]), strict=True))
+        ids.update((new[k], self._piece(r)) for k, r in enumerate(raw) if len(r) > Many.WIDTH)
+        for p in new:
+            self.kept.keep(p, ids[p])
+        for chunk, own in parts.items():
+            known[chunk] = b"".join([ids[p] for p in own])
+            if len(own) > 1:
+                self.kept.keep(chunk, known[chunk])
+        return [b"".join([known[chunk] for chunk in own]) for own in split]
 
     def decode(self, ids: bytes) -> bytes:
         of = self.ranks.bytes_of
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-class _Kept(dict):
+class _Kept:
     """Results by key in two generations: what is asked for again outlives the older one, which goes when the younger is full."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older, self.size = make, {}, 0
+    def __init__(self):
+        self.younger, self.older, self.size = {}, {}, 0
+
+    def find(self, key: str) -> bytes | None:
+        value = self.younger.get(key)
+        if value is None and (value := self.older.get(key)) is not None:
+            self.keep(key, value)
+        return value
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+    def keep(self, key: str, value: bytes) -> None:
         if len(key) <= 64:
-            self[key] = value
+            self.younger[key] = value
             self.size += ENTRY + len(key) + len(value)
             if self.size > KEPT_BYTES:
-                self.older, self.size = dict(self), 0
-                self.clear()
-        return value
+                self.older, self.younger, self.size = self.younger, {}, 0
 
 
 #: White space at an end or two in a row.
@@ -226,8 +358,19 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode_batches(path: str, pattern: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         own = encoder(path, pattern)
-        rows = ((doc, own.encode(text or "")) for part in slices(batches) for doc, text in zip(*columns(part, "doc_id", "text"), strict=True))
-        yield from packed(rows, ENCODED, lambda row: 16 + len(row[1]))
+
+        def rows():
+            for part in slices(batches):
+                ids, texts = columns(part, "doc_id", "text")
+                first = 0
+                while first < len(texts):
+                    last, size = first, 0
+                    while last < len(texts) and (last == first or size < TOGETHER):
+                        size, last = size + len(texts[last] or ""), last + 1
+                    yield from zip(ids[first:last], own.encode_many([t or "" for t in texts[first:last]]), strict=True)
+                    first = last
+
+        yield from packed(rows(), ENCODED, lambda row: 16 + len(row[1]))
 
     return run
 
@@ -245,7 +388,6 @@ def digest_batches(path: str, pattern: str, with_ids: bool = False) -> Callable[
                     yield doc, len(ids) // 4, hashlib.sha256(shown).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), *([ids] if with_ids else [])
 
         yield from packed(rows(), DIGEST.append(ENCODED.field("ids")) if with_ids else DIGEST, lambda row: 150 + 4 * row[1] * with_ids)
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
@@ -270,7 +412,7 @@ def digests(encoded: DataFrame, path: str | None = None, pattern: str = public_t
 def encode_and_check(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """:func:`encode` and :func:`digests` in one crossing to Python; the ids themselves stand last ``with_ids``."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = chained(encode_batches(path, pattern), digest_batches(path, pattern, with_ids))
+    both = lean(chained(encode_batches(path, pattern), digest_batches(path, pattern, with_ids)))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -45,6 +46,18 @@ def chained(*steps: Callable[[Batches], Batches]) -> Callable[[Batches], Batches
     return run
 
 
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, and after each task what it freed goes back to the system: workers live on beside later stages."""
+
+    def own(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return own
+
+
 def packed(rows: Iterable[tuple], schema: pa.Schema, weigh: Callable[[tuple], int] = lambda row: 64, most: int = 4 << 20) -> Batches:
     """Record batches of about ``most`` bytes from row tuples."""
     held, size = [], 0
