@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm import sketch
-from strataloom.llm.common import Batches, columns, free_names, linked, mixed, packed, rolling, slices
+from strataloom.llm.common import Batches, columns, free_names, lean, linked, mixed, packed, rolling, slices
 from strataloom.session import cut_lineage
 
 SHINGLE = 5
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, size: int,
     named = cut_lineage(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
     wanted = cut_lineage(owners.join(named, owners["cls"] == named["a"], "left_semi"))
     found = texts.join(_sent(wanted), texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["row"] == wanted["row"])).select("cls", "text")
-    sets = cut_lineage(found.mapInArrow(_set_batches(size), "cls binary, n int, tokens binary")).dropDuplicates(["cls"]).select("cls", "tokens")
+    sets = cut_lineage(found.mapInArrow(lean(_set_batches(size)), "cls binary, n int, tokens binary")).dropDuplicates(["cls"]).select("cls", "tokens")
     parts = pairs.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / F.lit(BLOCK)))).cast("long").alias("parts"))
     dealt = pairs.join(parts, "token").select("token", *(F.pmod(F.xxhash64(side), "parts").alias(f"of_{side}") for side in "ab"), "a", "b")
     block = ["token", "of_a", "of_b"]
@@ -204,7 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, size: int,
 
 def _candidate_groups(texts: DataFrame, sent, size: int, percent: int, bits: int) -> DataFrame:
     """The prefix shingles that several classes share: ``token, cls, n, at, first``; ``first`` marks what may be the smaller set of a pair."""
-    postings = texts.select("text").mapInArrow(_posting_batches(size, bits, percent, sent), "token long, cls binary, n int, at int")
+    postings = texts.select("text").mapInArrow(lean(_posting_batches(size, bits, percent, sent)), "token long, cls binary, n int, at int")
     together = Window.partitionBy("token")
     first = F.expr(f"at < n + 1 - ((2L * {percent} * n + {99 + percent}) div {100 + percent})")
     return cut_lineage(
@@ -263,10 +263,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     each. A null id is never the smallest. Other columns are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
-    rows = cut_lineage(texts.mapInArrow(_class_batches(size), "doc_id long, row long, n long, cls binary"))
+    rows = cut_lineage(texts.mapInArrow(lean(_class_batches(size)), "doc_id long, row long, n long, cls binary"))
     full = rows.where("n > 0")
     owners = full.groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("o")).select("cls", "o.doc_id", "o.row")
-    rarity = sketch.merge(texts.select("text").mapInArrow(_cell_batches(size, bits), sketch.PARTIAL_DDL), bits, levels)
+    rarity = sketch.merge(texts.select("text").mapInArrow(lean(_cell_batches(size, bits)), sketch.PARTIAL_DDL), bits, levels)
     sent = docs.sparkSession.sparkContext.broadcast(pa.compress(rarity.tobytes(), "zstd", asbytes=True))
     edges = _edges(texts, owners, sent, size, percent, bits)
     named = rows.where("n > 0").join(edges.withColumnsRenamed({"id": "cls", "component_id": "root"}), "cls", "left").select(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strataloom.llm.common import Batches, slices
+from strataloom.llm.common import Batches, lean, slices
 
 ROUNDS = 10
 KINDS = ("email", "ip", "card", "phone", "ssn", "date")
@@ -201,4 +201,4 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False, counts: bool =
             arrays += [pa.array([n[k] for _, n in done], pa.int64()) for k in range(len(counted))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *counted])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)

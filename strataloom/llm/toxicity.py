@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Batches, columns, packed, slices
+from strataloom.llm.common import Batches, columns, lean, packed, slices
 from strataloom.session import cut_lineage
 
 SAMPLE = 12_000  # labelled rows to learn from, in expectation
@@ -168,7 +168,7 @@ def score(docs: DataFrame, weights: dict[str, float], intercept: float) -> DataF
         yield from packed(rows(), SCORED)
 
     held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), held_out, F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), held_out, F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -185,7 +185,7 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         for part in slices(batches):
             yield part.filter(pa.array([score_of(t) < 0.5 for t in part.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
