@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +37,6 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def _keep_state_on_disk(spark: SparkSession) -> None:
-    """State in RocksDB, of which a batch uploads only its changes; a query that goes on keeps the store it began with."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-
-
 def _mark(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows of one checksum: the first of all batches, by (null, key) within its batch, is the original.
 
@@ -49,15 +44,31 @@ def _mark(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     """
     fresh, held = not state.exists, None
     for frame in frames:
-        out = frame.assign(duplicate=True)
+        flags = np.ones(len(frame), bool)
         if fresh:
-            both = out if held is None else pd.concat([held, out], ignore_index=True)
-            at = both.sort_values(["no_key", "k"], kind="stable").index[0]
-            held, out = both.loc[[at]], both.drop(index=at)
-        yield out
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+                flags = np.ones(len(frame), bool)
+            at = _least(frame)
+            held = frame.iloc[at : at + 1]
+            if len(frame) == 1:
+                continue
+            frame, flags = frame.drop(index=frame.index[at]), flags[1:]
+        frame["duplicate"] = flags
+        yield frame
     if held is not None:
         state.update((True,))
-        yield held.assign(duplicate=False)
+        held = held.copy()
+        held["duplicate"] = False
+        yield held
+
+
+def _least(frame: pd.DataFrame) -> int:
+    """Place of the row with the smallest key, null keys last."""
+    if len(frame) == 1:
+        return 0
+    known = np.flatnonzero(~frame["no_key"].to_numpy())
+    return int(known[frame["k"].to_numpy()[known].argmin()]) if len(known) else 0
 
 
 def dedup(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
@@ -66,9 +77,9 @@ def dedup(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id", text:
     Writes ``key, sha, duplicate``; the first batch's smallest key of a checksum is
     the original, a null key comes last, null texts are copies of each other. The
     history is one bit of keyed state per checksum: a batch looks up its own
-    checksums and reads nothing that earlier batches wrote.
+    checksums and reads nothing that earlier batches wrote. Where it lives is the
+    session's choice; for a history beyond memory set its state store to RocksDB.
     """
-    _keep_state_on_disk(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     sums = docs.select(
         F.coalesce(F.sha2(F.encode(text, "UTF-8"), 256), F.lit("")).alias("sha"), F.col(key).isNull().alias("no_key"),

@@ -3,6 +3,7 @@
 import random
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import chunking, extract, graph
@@ -39,7 +40,17 @@ def run(spark, folder, start):
         yield rows
 
 
-def test_duplicates_need_no_history(spark, tmp_path):
+@pytest.mark.parametrize("store", ["HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"])
+def test_duplicates_need_no_history(spark, tmp_path, store):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, f"org.apache.spark.sql.execution.streaming.state.{store}")
+    try:
+        _duplicates_need_no_history(spark, tmp_path)
+    finally:
+        spark.conf.unset(name)
+
+
+def _duplicates_need_no_history(spark, tmp_path):
     out, flags = tmp_path / "out", []
     for rows in run(spark, str(tmp_path / "in"), lambda s: jobs.dedup(s, str(out), str(tmp_path / "ck"))):
         flags += spark.read.parquet(str(out)).collect()
