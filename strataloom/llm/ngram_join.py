@@ -4,7 +4,8 @@ A document is the set of its word shingles. In any one order of all shingles,
 two sets of Jaccard similarity ``t`` must share one of their first
 ``n - ceil(t n) + 1`` shingles, their prefix. A pair is compared in full only if
 that holds in every one of several orders: one by rarity, which keeps common
-shingles out of the prefixes and alone makes pairs, and two by hash.
+shingles out of the prefixes and alone makes pairs, and one by hash, read from
+both ends, which is asked after the sets of a pair have met.
 
 Equal sets are one class from the start. The classes of a prefix shingle first
 meet a leader; pairs already in one component are not looked at again, so a
