@@ -29,7 +29,8 @@ from strataloom.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 80
-BITS = 25  # cells of the rarity sketch: 32 MB as levels
+BITS = 28  # cells of the rarity sketch: 32 MB of bits and 32 MB of levels
+GROUP = 8  # cells that share a level
 STARS = 2  # rounds of stars before all open pairs
 LEADERS = 3  # leaders that a class meets in a round of stars
 BLOCK = 50_000  # pairs of a block of comparisons, about
@@ -78,9 +79,19 @@ def _cell_batches(size: int, bits: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Two steps per doubling of a count."""
-    return np.minimum(255, np.ceil(2 * np.log2(np.maximum(1, counts)))).astype(np.uint8)
+def rarities(counts: np.ndarray) -> np.ndarray:
+    """A bit per cell, whether it was met more than once, then a level per group of cells: two steps per doubling of its largest count."""
+    largest = counts.reshape(-1, GROUP).max(axis=1)
+    return np.concatenate([np.packbits(counts > 1, bitorder="little"), np.minimum(255, np.ceil(2 * np.log2(np.maximum(1, largest)))).astype(np.uint8)])
+
+
+def rarity(tokens: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """The level of each shingle in the merged ``table``, 0 for those that one text alone holds."""
+    cell = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+    stretch = (1 << bits) // sketch.SEGMENTS // GROUP  # bytes of bits in a segment, and of levels behind them
+    group = cell // GROUP
+    at = group + group // stretch * stretch
+    return np.where(table[at] >> (cell % GROUP).astype(np.uint8) & 1, table[at + stretch], 0)
 
 
 def prefix(n: int, percent: int) -> int:
@@ -94,10 +105,13 @@ def indexed(n: int, percent: int) -> int:
 
 
 def _posting_batches(size: int, bits: int, percent: int, sent) -> Callable[[Batches], Batches]:
-    """Prefixes in the order of rarity, then hash; a class that a task meets again is left out."""
+    """Prefixes in the order of rarity, then hash; a class that a task meets again is left out.
+
+    A shingle of one text alone takes its place in the prefix, but no other set can share it: it is not sent.
+    """
 
     def run(batches: Batches) -> Batches:
-        rarity = np.frombuffer(pa.decompress(sent.value, 1 << bits, "zstd", asbytes=True), np.uint8)
+        table = np.frombuffer(pa.decompress(sent.value, (1 << bits) // GROUP * 2, "zstd", asbytes=True), np.uint8)
         seen: set[bytes] = set()
         held, n_held = [], 0
         for part in slices(batches):
@@ -107,10 +121,12 @@ def _posting_batches(size: int, bits: int, percent: int, sent) -> Callable[[Batc
                 if not len(tokens) or cls in seen:
                     continue
                 seen.add(cls)
-                level = rarity[(tokens >> np.uint64(64 - bits)).astype(np.int64)]
+                level = rarity(tokens, table, bits)
                 first = np.lexsort((tokens, level))[: prefix(len(tokens), percent)]
-                held.append((tokens[first].view(np.int64), cls, len(tokens)))
-                n_held += len(first)
+                at = np.flatnonzero(level[first]).astype(np.int32)
+                if len(at):
+                    held.append((tokens[first[at]].view(np.int64), cls, len(tokens), at))
+                    n_held += len(at)
                 if n_held > 100_000:
                     yield _postings(held)
                     held, n_held = [], 0
@@ -121,12 +137,11 @@ def _posting_batches(size: int, bits: int, percent: int, sent) -> Callable[[Batc
 
 
 def _postings(held: list) -> pa.RecordBatch:
-    sizes = np.array([len(t) for t, _, _ in held])
-    at = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
-    which = pa.array(np.repeat(np.arange(len(held)), sizes))
-    cls = pa.array([c for _, c, _ in held], pa.binary()).take(which)
-    n = np.repeat(np.array([k for _, _, k in held], np.int32), sizes)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _, _ in held])), cls, pa.array(n), pa.array(at)], schema=POSTINGS)
+    tokens, classes, sizes, at = zip(*held, strict=True)
+    lengths = [len(t) for t in tokens]
+    cls = pa.array(classes, pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), lengths)))
+    n = np.repeat(np.array(sizes, np.int32), lengths)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), cls, pa.array(n), pa.array(np.concatenate(at))], schema=POSTINGS)
 
 
 def _set_batches(size: int) -> Callable[[Batches], Batches]:
@@ -267,8 +282,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     rows = cut_lineage(texts.mapInArrow(lean(_class_batches(size)), "doc_id long, row long, n long, cls binary"))
     full = rows.where("n > 0")
     owners = full.groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("o")).select("cls", "o.doc_id", "o.row")
-    rarity = sketch.merge(texts.select("text").mapInArrow(lean(_cell_batches(size, bits)), sketch.PARTIAL_DDL), bits, levels)
-    sent = docs.sparkSession.sparkContext.broadcast(pa.compress(rarity.tobytes(), "zstd", asbytes=True))
+    table = sketch.merge(texts.select("text").mapInArrow(lean(_cell_batches(size, bits)), sketch.PARTIAL_DDL), bits, rarities)
+    sent = docs.sparkSession.sparkContext.broadcast(pa.compress(table.tobytes(), "zstd", asbytes=True))
     edges = _edges(texts, owners, sent, size, percent, bits)
     named = rows.where("n > 0").join(edges.withColumnsRenamed({"id": "cls", "component_id": "root"}), "cls", "left").select(
         "doc_id", "row", "n", F.coalesce("root", "cls").alias("root")

@@ -460,3 +460,13 @@ def test_pipeline(spark, tmp_path):
     same([(r["doc_id"], bytes(r["ids"])) for r in got], [(d, coder.encode(t or "")) for d, t in want])
     same([(r["doc_id"], r["decoded_sha256"]) for r in got], [(d, sha(t or "")) for d, t in want])
     assert 0 < len(got) < len(rows + extra) and any("555" not in (t or "") and d == 2000 for d, t in want)
+
+
+def test_rarity_of_shingles():
+    """Cells met once give level 0; others the level of the largest count among eight, in the table's own layout."""
+    bits, per = 14, (1 << 14) // 1024
+    counts = np.zeros(1 << bits, np.int64)
+    counts[[0, 3, 9, 5000, 16383]] = [1, 2, 1, 40, 3]
+    table = np.concatenate([ngram_join.rarities(counts[k : k + per]) for k in range(0, 1 << bits, per)])
+    tokens = np.array([0, 3, 9, 5000, 16383, 77], np.uint64) << np.uint64(64 - bits)
+    assert ngram_join.rarity(tokens, table, bits).tolist() == [0, 2, 0, 11, 4, 0]
