@@ -32,7 +32,7 @@ PERCENT = 80
 BITS = 28  # cells of the rarity sketch: 32 MB of bits and 32 MB of levels
 GROUP = 8  # cells that share a level
 STARS = 2  # rounds of stars before all open pairs
-LEADERS = 3  # leaders that a class meets in a round of stars
+LEADERS = 3  # leaders that a class meets in a round of stars after the first, in which it meets one
 BLOCK = 50_000  # pairs of a block of comparisons, about
 SENT = 1_000_000  # class keys of at most about 40 bytes that may be sent to every task
 
@@ -210,8 +210,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, size: int,
     wanted = cut_lineage(owners.join(named, owners["cls"] == named["a"], "left_semi"))
     found = texts.join(_sent(wanted), texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["row"] == wanted["row"])).select("cls", "text")
     sets = cut_lineage(found.mapInArrow(lean(_set_batches(size)), "cls binary, n int, tokens binary")).dropDuplicates(["cls"]).select("cls", "tokens")
-    parts = pairs.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / F.lit(BLOCK)))).cast("long").alias("parts"))
-    dealt = pairs.join(parts, "token").select("token", *(F.pmod(F.xxhash64(side), "parts").alias(f"of_{side}") for side in "ab"), "a", "b")
+    # Only shingles of more than a block of pairs are cut, so the join that tells them moves no pair by its shingle.
+    large = pairs.groupBy("token").agg(F.ceil(F.sqrt(F.count("*") / F.lit(BLOCK))).cast("long").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(_sent(cut_lineage(large)), "token", "left").select("token", *(F.pmod(F.xxhash64(side), parts).alias(f"of_{side}") for side in "ab"), "a", "b")
     block = ["token", "of_a", "of_b"]
     own = [f"own_{name}" for name in block]
     members = dealt.select(*(F.col(x).alias(y) for x, y in zip(block, own, strict=True)), F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
@@ -240,12 +242,15 @@ def _labelled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _star(groups: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of a class with leaders of its shingles, each shingle's drawn by a hash: the ``LEADERS`` it shares most with."""
+    """Pairs of a class with leaders of its shingles, each shingle's drawn by a hash: those it shares most with.
+
+    In the first round that is one, which connects most of a group of near copies; only what is left meets ``LEADERS``.
+    """
     lead = F.min(F.when(F.col("first"), F.struct(F.xxhash64("cls", "token", F.lit(turn)).alias("drawn"), "cls", "n", "root"))).over(Window.partitionBy("token"))
     met = groups.withColumn("lead", lead).where("lead.root <> root").where(f"100L * least(n, lead.n) >= {percent}L * greatest(n, lead.n)").where("lead.n <= n OR first")
     shared = met.groupBy("cls", F.col("lead.cls").alias("other")).agg(F.count("*").alias("shared"), F.min("token").alias("token"))
     rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("shared"), "other"))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("other").alias("a"), F.col("cls").alias("b"), "token")
+    return shared.withColumn("rank", rank).where(F.col("rank") <= (LEADERS if turn else 1)).select(F.col("other").alias("a"), F.col("cls").alias("b"), "token")
 
 
 def _edges(texts: DataFrame, owners: DataFrame, sent, size: int, percent: int, bits: int) -> DataFrame:
