@@ -17,7 +17,7 @@ from strataloom.functions.text import tokens
 from strataloom.operators.search import top_k
 
 __all__ = [
-    "ann_join", "append_index", "cosine", "densify", "dot", "hash_embed", "hash_vectors", "jaccard", "jaccard_pairs", "near_pairs", "set_pairs", "sparse_cosine", "sparsify", "token_sets", "top_k",
+    "ann_join", "cosine", "densify", "dot", "hash_embed", "hash_vectors", "jaccard", "jaccard_pairs", "near_pairs", "set_pairs", "sparse_cosine", "sparsify", "token_sets", "top_k",
 ]
 
 DIMENSION = 384
@@ -115,11 +115,6 @@ def jaccard(a, b) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-def append_index(df: DataFrame, path: str, key: str, text: str = "text", gen: int = 1) -> None:
-    """Embed texts and append them to a vectors table."""
-    hash_embed(df, key, text, gen).write.mode("append").parquet(path)
-
-
 def token_sets(df: DataFrame, key: str, text: str, pattern: str = "[a-z0-9_]+") -> DataFrame:
     """Distinct token sets with a set id: ``key, set_id, tokens`` (sorted)."""
     sets = F.array_sort(tokens(text, pattern))
