@@ -26,6 +26,12 @@ def rnd(c, digits: int = 4) -> Column:
     return F.round(as_col(c).cast("double"), digits) + F.lit(0.0)
 
 
+def rnd_scaled(c, digits: int) -> Column:
+    """Rounded as SQL engines with C doubles do: the scaled double decides, not its shortest decimal spelling."""
+    scale = F.lit(10.0**digits)
+    return F.round(as_col(c).cast("double") * scale, 0) / scale + F.lit(0.0)
+
+
 def band(c, cuts: Sequence[tuple[float, str]], other: str) -> Column:
     """First name whose lower bound is reached; ``cuts`` run from high to low."""
     out = None

@@ -262,3 +262,9 @@ def test_long_folds_keep_all(spark):
         x, y = x / (x * x + y * y) ** 0.5, y / (x * x + y * y) ** 0.5
     got = retrieve.apply_match(matches, prompts, profiles, "at").first()
     assert got["usage"] == 701 and got["vector"] == pytest.approx([x, y])
+
+
+def test_costs_round_as_the_sql_twin_does(spark):
+    """72.5 * 0.82 is 59.449999999999996 as a double; ten times that is 594.5, which SQL rounds up."""
+    found = spark.createDataFrame([(72.5,), (0.0,)], "match_score double")
+    assert [r.token_saving_pct for r in retrieve.decision_costs(found).orderBy("match_score").collect()] == [0.0, 59.5]
