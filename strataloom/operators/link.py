@@ -77,7 +77,9 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
 
     A text is looked up under its rarest gram (its own length up to 3), so the
     join is by equality and common grams are keys only for texts that hold
-    nothing rarer.
+    nothing rarer. Exploded grams are many times the file they come from, which
+    Spark's estimate does not show: these joins are never broadcast. Texts of
+    one or two characters are few and are sent to the grams.
     """
     out = None
     for q in range(1, GRAM + 1):
@@ -85,13 +87,13 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
         base = long.where(F.length("text") >= q).select(F.col("text").alias("long"), F.explode(_grams("text", q)).alias("gram"))
         if q == GRAM:
             df = base.groupBy("gram").agg(F.count("*").alias("df"))
-            grams = mine.select("text", F.explode(_grams("text", q)).alias("gram")).join(df, "gram")
+            grams = mine.select("text", F.explode(_grams("text", q)).alias("gram")).join(df.hint("merge"), "gram")
             # A gram no long text has rules the text out: an inner join would hide it, so all grams must be found.
             need = mine.select("text", F.size(_grams("text", q)).alias("need"))
-            keyed = grams.groupBy("text").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count("*").alias("have")).join(need, "text").where("have = need")
-            keyed = keyed.select(F.col("text").alias("short"), "gram")
+            keyed = grams.groupBy("text").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count("*").alias("have")).join(need.hint("merge"), "text").where("have = need")
+            keyed = keyed.select(F.col("text").alias("short"), "gram").hint("merge")
         else:
-            keyed = mine.select(F.col("text").alias("short"), F.col("text").alias("gram"))
+            keyed = F.broadcast(mine.select(F.col("text").alias("short"), F.col("text").alias("gram")))
         hit = keyed.join(base, "gram").where(F.col("long").contains(F.col("short"))).select("short", "long")
         out = hit if out is None else out.unionByName(hit)
     return out
@@ -114,13 +116,13 @@ def lexical_pairs(source: DataFrame, target: DataFrame, gate: float = LEXICAL_GA
     some = F.size("tokens") > 0
     sets = vectors.set_pairs(s.where(some), t.where(some), gate)
     by_tokens = (
-        s.select("source_id", F.col("set_id").alias("left_set")).join(sets, "left_set").join(t.select("target_id", F.col("set_id").alias("right_set")), "right_set")
+        s.select("source_id", F.col("set_id").alias("left_set")).join(sets.hint("merge"), "left_set").join(t.select("target_id", F.col("set_id").alias("right_set")).hint("merge"), "right_set")
         .select("source_id", "target_id", F.lit(0.0).alias("containment"), F.col("score").alias("jaccard"))
     )
     sn = s.select(F.col("source_norm").alias("text")).where("text <> ''").distinct()
     tn = t.select(F.col("target_norm").alias("text")).where("text <> ''").distinct()
     within = contained(sn, tn).toDF("source_norm", "target_norm").unionByName(contained(tn, sn).toDF("target_norm", "source_norm").select("source_norm", "target_norm")).distinct()
-    by_part = within.join(s.select("source_id", "source_norm"), "source_norm").join(t.select("target_id", "target_norm"), "target_norm").select(
+    by_part = within.join(s.select("source_id", "source_norm").hint("merge"), "source_norm").join(t.select("target_id", "target_norm").hint("merge"), "target_norm").select(
         "source_id", "target_id", F.lit(1.0).alias("containment"), F.lit(0.0).alias("jaccard")
     )
     return (
@@ -151,7 +153,7 @@ def cross_source(source: DataFrame, target: DataFrame, edges: DataFrame | None =
 
     s, t = side(source, "source", hints), side(target, "target")
     gated = (
-        pairs.join(s.drop("text"), "source_id").join(t.drop("text"), "target_id")
+        pairs.join(s.drop("text").hint("merge"), "source_id").join(t.drop("text").hint("merge"), "target_id")
         .withColumn("semantic", compatibility("source_labels", "target_labels")).drop("source_labels", "target_labels")
     )
     passed = gated.where(F.col("semantic") >= SEMANTIC_GATE)
@@ -172,7 +174,7 @@ def cross_source(source: DataFrame, target: DataFrame, edges: DataFrame | None =
         have = edges.where("relation = 'cross_source_related'").select(
             F.col("source_canonical_id").alias("source_id"), F.col("target_canonical_id").alias("target_id"), F.lit(True).alias("known")
         ).distinct()
-        best = best.join(have, ["source_id", "target_id"], "left")
+        best = best.join(have.hint("merge"), ["source_id", "target_id"], "left")
         known = F.coalesce("known", F.lit(False))
     state = first_match((known, "rejected"), (F.col("score") >= ACCEPT, "accepted"), (F.col("score") >= REVIEW, "review"), other="rejected")
     reason = first_match((known, "edge_already_exists"), (F.col("score") >= REVIEW, None), other="score_below_review_threshold")
@@ -184,7 +186,7 @@ def cross_source(source: DataFrame, target: DataFrame, edges: DataFrame | None =
     ).unionByName(scored.where(F.col("embedding") < EMBEDDING_GATE).select(
         "source_id", "target_id", "lexical", "semantic", "embedding", null.alias("boost"), null.alias("score"), F.lit("rejected").alias("state"), F.lit("embedding_gate_failed").alias("reason")
     ))
-    alone = source.select(F.col("canonical_id").alias("source_id")).distinct().join(best.select("source_id"), "source_id", "left_anti").select(
+    alone = source.select(F.col("canonical_id").alias("source_id")).distinct().join(best.select("source_id").hint("merge"), "source_id", "left_anti").select(
         "source_id", F.lit("rejected").alias("state"), F.lit("no_candidate_passing_gates").alias("reason")
     )
     return best.unionByName(stopped).unionByName(alone, allowMissingColumns=True)
