@@ -268,3 +268,13 @@ def test_costs_round_as_the_sql_twin_does(spark):
     """72.5 * 0.82 is 59.449999999999996 as a double; ten times that is 594.5, which SQL rounds up."""
     found = spark.createDataFrame([(72.5,), (0.0,)], "match_score double")
     assert [r.token_saving_pct for r in retrieve.decision_costs(found).orderBy("match_score").collect()] == [0.0, 59.5]
+
+
+def test_build_counts_repeats_before_it_looks_up_ends(spark):
+    """A hub's name meets one row per distinct edge; spellings that differ by blanks and case are one edge."""
+    found = spark.createDataFrame([("Hub", "concept"), ("Leaf", "concept")], "text string, type string")
+    rows = spark.createDataFrame([(" hub", "Leaf", "owns")] * 5 + [("Hub ", "leaf", "owns"), ("Hub", "nowhere", "owns")], "source string, target string, relation string")
+    edges = graph.build(found, rows)[1]
+    assert [tuple(r) for r in edges.select("source", "target", "relation", "mentions").collect()] == [("hub", "leaf", "owns", 6)]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate [_s") > plan.rindex("Join Inner")
