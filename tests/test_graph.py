@@ -278,3 +278,13 @@ def test_build_counts_repeats_before_it_looks_up_ends(spark):
     assert [tuple(r) for r in edges.select("source", "target", "relation", "mentions").collect()] == [("hub", "leaf", "owns", 6)]
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Aggregate [_s") > plan.rindex("Join Inner")
+
+
+def test_page_lists_do_not_pass_through_the_driver(spark, tmp_path):
+    n = spark.createDataFrame([("a", "A", "entity"), ("b", "B", "entity")], "id string, label string, entity_type string")
+    e = spark.createDataFrame([("a", "b", "owns", 0.5)], "source string, target string, relation string, confidence double")
+    src = spark.createDataFrame([("a", "s", 1)], "canonical_id string, source_id string, chunk_idx int")
+    for name, df in (("n", n), ("e", e), ("src", src)):
+        df.write.parquet(f"{tmp_path}/{name}")  # small files: Spark would broadcast them
+    plan = wiki.pages(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("n", "e", "src")))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [canonical_id" not in plan and plan.count("SortMergeJoin [canonical_id") == 5
