@@ -135,8 +135,7 @@ def constrained_relations(spark, sf_dir):
 
 @query("second_rule_relations")
 def second_rule_relations(spark, sf_dir):
-    found = extract.relations(chunks(spark, sf_dir), gen=2)
-    return found.groupBy("relation", "source_type", "target_type").agg(F.count("*").alias("count"))
+    return extract.relation_counts(chunks(spark, sf_dir))
 
 
 @query(
