@@ -36,14 +36,19 @@ def chunks(spark, sf_dir) -> DataFrame:
     return chunking.chunk(docs, keep=("source_id",))
 
 
+def extracted(spark, sf_dir) -> DataFrame:
+    """Entities and sentences of the chunks, read once for both tables below."""
+    return kept(spark, sf_dir, "extracted", lambda: extract.extracted(chunks(spark, sf_dir), keep=("source_id",)))
+
+
 def mentions(spark, sf_dir) -> DataFrame:
     """``doc_id, source_id, chunk_idx, pos, text, label, type``."""
-    return kept(spark, sf_dir, "mentions", lambda: extract.entities(chunks(spark, sf_dir), keep=("source_id",)).drop("chunk_preview"))
+    return extract.mentioned(extracted(spark, sf_dir), keep=("source_id",))
 
 
 def relations(spark, sf_dir) -> DataFrame:
     """``doc_id, source_id, chunk_idx, sentence, i, j, source, target, relation, context`` and types."""
-    return kept(spark, sf_dir, "relations", lambda: extract.relations(chunks(spark, sf_dir), keep=("source_id",)))
+    return extract.related(extracted(spark, sf_dir), keep=("source_id",))
 
 
 def entities(spark, sf_dir) -> DataFrame:
