@@ -118,6 +118,17 @@ def outliers(df: DataFrame, cols=None, z: float = 3.0, strict: bool = False, fac
     return one_row_to_long(df.agg(*aggs), cols, {"n": "long", "iqr_outliers": "long", "zscore_outliers": "long"})
 
 
+def z_outliers(df: DataFrame, cols=None, z: float = 3.0) -> DataFrame:
+    """The z-score part of :func:`outliers`: ``column, n, zscore_outliers`` by two scans, without quantiles."""
+    cols = list(cols or numeric_columns(df))
+    facts = df.agg(*[f(number(c)) for c in cols for f in (F.avg, F.stddev_pop)]).first()
+    aggs = []
+    for i, c in enumerate(cols):
+        v, mean, std = number(c), facts[2 * i], facts[2 * i + 1]
+        aggs += [count_if(F.abs((v - mean) / std) >= z if std else F.lit(False)).alias(f"zscore_outliers__{i}"), F.count(v).alias(f"n__{i}")]
+    return one_row_to_long(df.agg(*aggs), cols, {"n": "long", "zscore_outliers": "long"})
+
+
 def outlier_values(df: DataFrame, cols=None, z: float = 3.0, strict: bool = False, keep: int = 25) -> DataFrame:
     """Smallest ``keep`` distinct outlying values per column: ``column, position, value``."""
     cols = list(cols or numeric_columns(df))

@@ -22,9 +22,13 @@ def run(counts: DataFrame, profile: DataFrame, labelled: DataFrame) -> DataFrame
     is tested once and weighted by its copies.
     """
     copies = F.col("copies")
-    per_column = counts.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(parse_datetime("value").isNull(), copies)), F.lit(0)).alias("bad_dates"),
-        F.coalesce(F.sum(F.when(F.col("value").try_cast("double").isNotNull(), copies)), F.lit(0)).alias("parsed"),
+    dated = (F.col("label") == "datetime") | F.lower("column").rlike("date|time|timestamp")
+    # Dates and numbers are parsed only where a rule asks for them: a value that is no date costs six failed parses.
+    asked = labelled.join(profile.select("table").distinct(), "table", "left_semi").select("column", dated.alias("dated"), F.col("label").isin(*NUMERIC_LABELS).alias("numeric"))
+    asked = asked.where(F.col("dated") | F.col("numeric"))
+    per_column = counts.join(F.broadcast(asked), "column").groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("dated"), F.when(parse_datetime("value").isNull(), copies))), F.lit(0)).alias("bad_dates"),
+        F.coalesce(F.sum(F.when(F.col("numeric"), F.when(F.col("value").try_cast("double").isNotNull(), copies))), F.lit(0)).alias("parsed"),
     )
     # A low-cardinality column has at most ten values; only those are folded to lower case.
     small = profile.where(F.col("cardinality") <= 10).select("column")
@@ -38,7 +42,6 @@ def run(counts: DataFrame, profile: DataFrame, labelled: DataFrame) -> DataFrame
         .join(F.broadcast(per_column), "column", "left").join(F.broadcast(rare), "column", "left")
         .fillna(0, ["bad_dates", "parsed", "kinds", "rare"])
     )
-    dated = (F.col("label") == "datetime") | F.lower("column").rlike("date|time|timestamp")
     rate = ratio("nulls", "rows")
     parse_rate = ratio("parsed", "filled")
 

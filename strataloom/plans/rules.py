@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.operators import joins, profile, stats, timeseries, validate
+from strataloom.plans import base
 from strataloom.plans.registry import ALL_TABLES, COLUMNS, RELATIONAL, query, union_sql
 from strataloom.plans.tabular import _profile_sql, _with_facts, text_cell
 from strataloom.session import load
@@ -28,6 +29,15 @@ def frames(spark, sf_dir, names=RELATIONAL):
     return {t: load(spark, sf_dir, t) for t in names}
 
 
+def profiled(spark, sf_dir, names):
+    """``profile.tables`` of the named tables; the row of each column is kept for the session."""
+    out = None
+    for t in names:
+        one = base.kept(spark, sf_dir, f"profile {t}", lambda t=t: profile.columns(load(spark, sf_dir, t), t))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _names_sql(pattern_case: str) -> str:
     tables = ", ".join(f"'{t}'" for t in (*RELATIONAL, "events"))
     return f"SELECT table_name AS t, column_name AS c, {pattern_case} FROM information_schema.columns WHERE table_name IN ({tables})"
@@ -176,7 +186,7 @@ def flagged(spark, sf_dir, names=tuple(FLAG_TABLES)):
     out = None
     for t in names:
         df = load(spark, sf_dir, t)
-        one = profile.anomalies(profile.columns(df, t), stats.outliers(df))
+        one = base.kept(spark, sf_dir, f"flags {t}", lambda df=df, t=t: profile.anomalies(profiled(spark, sf_dir, (t,)), stats.z_outliers(df)))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -218,8 +228,8 @@ def findings(spark, sf_dir, names=CHECKED):
     out = None
     for t in names:
         df = load(spark, sf_dir, t)
-        counts = profile.value_counts(df)
-        one = validate.run(counts, profile.columns(df, t, counts=counts), labels)
+        # The few rows of a table are kept: they are read several times by one report.
+        one = base.kept(spark, sf_dir, f"findings {t}", lambda df=df, t=t: validate.run(profile.value_counts(df), profiled(spark, sf_dir, (t,)), labels))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -399,7 +409,7 @@ HEALTHY = tuple(FLAG_TABLES)
 
 
 def quality_parts(spark, sf_dir, names=HEALTHY):
-    prof = profile.tables(frames(spark, sf_dir, names))
+    prof = profiled(spark, sf_dir, names)
     return validate.quality(prof, findings(spark, sf_dir, names), flagged(spark, sf_dir, names), labelled(spark, sf_dir, names))
 
 
@@ -457,7 +467,7 @@ SELECT (SELECT CAST(sum(filled) AS BIGINT) FROM p) AS total_records, (SELECT cou
 def kpis(spark, sf_dir, names):
     labels = labelled(spark, sf_dir)
     return validate.kpis(
-        profile.tables(frames(spark, sf_dir, names)), quality_parts(spark, sf_dir, names), flagged(spark, sf_dir, names), evidence(spark, sf_dir),
+        profiled(spark, sf_dir, names), quality_parts(spark, sf_dir, names), flagged(spark, sf_dir, names), evidence(spark, sf_dir),
         profile.classify_tables(labels), timeseries.coverage(labels),
     )
 
