@@ -28,7 +28,7 @@ from strataloom.session import work_folder
 LIMIT = 18  # bits of the longest code word, if so many words suffice
 EVERY = 256  # ids between two checkpoints
 BLOCK = 1 << 18  # ids after which a block ends
-CACHED = 400_000  # words whose ids a worker keeps
+CACHED = 200_000  # words in each of the two generations whose ids a worker keeps
 
 IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 COUNTS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
@@ -121,6 +121,7 @@ class Code:
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _SIGNS = r"!-&(-@\[-`{-~"  # ASCII but letters and the apostrophe, which may start a contraction
+_STRIPPED = "".join(chr(k) for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "'")
 _PLAIN = re.compile(rf"([{_SIGNS}]*)([{_LETTERS}]+)([{_SIGNS}]*)").fullmatch
 #: Bytes that the byte-level step shows as another character, as it shows a byte that has no sign of its own.
 _SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -144,40 +145,63 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
-        self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {"": b""}
+        top = max([-1, *self.tokenizer.get_vocab(with_added_tokens=True).values()])
+        self.id_bytes = [i.to_bytes(self.width, "little") for i in range(top + 1)]
+        self.marked = re.compile("|".join(map(re.escape, self.marks))).search if self.marks else lambda word: None
+        self.simple = not any(m.isalpha() for m in self.marks)  # no mark can stand in a word of letters alone
+        self.words, self.letters, self.others = _Known(self._word), _Known(self._letters), _Known(self._other)
 
     def _ids(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return self.id_bytes[ids[0]] if len(ids) == 1 else b"".join([self.id_bytes[i] for i in ids])
 
     def _word(self, word: str) -> bytes:
+        core = word.strip(_STRIPPED)
+        if core.isascii() and core.isalpha():
+            if core == word and self.simple:
+                return self.letters[word.lower()]
+            if not self.marked(word):
+                at = word.index(core)
+                before, after = word[:at], word[at + len(core) :]
+                return (self.others[before] if before else b"") + self.letters[core.lower()] + (self.others[after] if after else b"")
         plain = _PLAIN(word)
-        if plain is None or any(m in word for m in self.marks):
-            return self._other(word)
+        if plain is None or self.marked(word):
+            return self.others[word]
         before, run, after = plain.groups()
-        run = run.lower()
-        found = self.letters.get(run)
-        if found is None:
-            shown = run if run.isascii() else run.encode().decode("latin-1").translate(_SHOWN)
-            found = self.letters[run] = self._ids([token.id for token in self.model.tokenize(shown)])
-        return self._other(before) + found + self._other(after) if before or after else found
+        found = self.letters[run.lower()]
+        return (self.others[before] if before else b"") + found + (self.others[after] if after else b"")
+
+    def _letters(self, run: str) -> bytes:
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(_SHOWN)
+        return self._ids([token.id for token in self.model.tokenize(shown)])
 
     def _other(self, part: str) -> bytes:
-        found = self.others.get(part)
+        return self._ids(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        for known in (self.words, self.letters, self.others):
+            known.turn()
+        own = self.words.__getitem__
+        return [b"".join(map(own, _WORDS(t) if _SEPARATORS(t) else t.split())) for t in texts]
+
+
+class _Known(dict):
+    """Values made when first asked for; what is asked for again outlives the older generation, which goes when the younger is full."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
         if found is None:
-            if len(self.others) > CACHED:
-                self.others = {"": b""}
-            found = self.others[part] = self._ids(self.tokenizer.encode(part, add_special_tokens=False).ids)
+            found = self.make(key)
+        self[key] = found
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_WORDS(t) if _SEPARATORS(t) else t.split() for t in texts]
-        if len(self.words) > CACHED:
-            self.words, self.letters = {}, {}
-        for word in set().union(*split).difference(self.words):
-            self.words[word] = self._word(word)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+    def turn(self) -> None:
+        if len(self) > CACHED:
+            self.older = dict(self)
+            self.clear()
 
 
 @lru_cache(maxsize=2)
