@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Batches, chained, columns, lean, packed, slices
+from strataloom.llm.common import KEPT, Batches, chained, columns, lean, packed, slices
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -355,6 +355,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+KEPT["byte_bpe"] = encoder
+
+
 def encode_batches(path: str, pattern: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         own = encoder(path, pattern)
@@ -412,7 +415,7 @@ def digests(encoded: DataFrame, path: str | None = None, pattern: str = public_t
 def encode_and_check(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """:func:`encode` and :func:`digests` in one crossing to Python; the ids themselves stand last ``with_ids``."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = lean(chained(encode_batches(path, pattern), digest_batches(path, pattern, with_ids)))
+    both = lean(chained(encode_batches(path, pattern), digest_batches(path, pattern, with_ids)), keeps="byte_bpe")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     )
