@@ -9,7 +9,8 @@ both ends, which is asked after the sets of a pair have met.
 
 Equal sets are one class from the start. The classes of a prefix shingle first
 meet a leader; pairs already in one component are not looked at again, so a
-large group of near copies costs a few stars and not all its pairs.
+large group of near copies costs a few stars and not all its pairs. What stars
+leave apart in a large group meets in packed blocks of sets, without a row per pair.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ GROUP = 8  # cells that share a level
 STARS = 2  # rounds of stars before all open pairs
 LEADERS = 3  # leaders that a class meets in a round of stars
 BLOCK = 50_000  # pairs of a block of comparisons, about
+CROWD = 64  # open classes of a shingle; more meet in packed blocks
+BLOCK_TOKENS = 1 << 16  # of a packed block, about
+PARTS = 64  # partitions of packed blocks, at most; each meets each
+COLUMNS = 4096  # shingles whose overlaps are added together
 SENT = 1_000_000  # class keys of at most about 40 bytes that may be sent to every task
 
 _digest = xxhash.xxh3_64_intdigest
@@ -42,6 +47,10 @@ CLASSES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64
 POSTINGS = pa.schema([("token", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("at", pa.int32())])
 SETS = pa.schema([("cls", pa.binary()), ("n", pa.int32()), ("tokens", pa.binary())])
 PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+BLOCKS = pa.schema([
+    ("family", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("least", pa.int32()), ("most", pa.int32()),
+    ("classes", pa.list_(pa.binary())), ("roots", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()),
+])
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -197,6 +206,13 @@ def _sent(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= SENT else small
 
 
+def _sets(named: DataFrame, texts: DataFrame, owners: DataFrame, size: int) -> DataFrame:
+    """``cls, tokens`` of the classes of ``named(cls)``, made anew from one text of each."""
+    wanted = cut_lineage(owners.join(named, "cls", "left_semi"))
+    found = texts.join(_sent(wanted), texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["row"] == wanted["row"])).select("cls", "text")
+    return cut_lineage(found.mapInArrow(lean(_set_batches(size)), "cls binary, n int, tokens binary")).dropDuplicates(["cls"]).select("cls", "tokens")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b, token)``, similar ones that connect what all similar ones connect.
 
@@ -206,10 +222,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, size: int,
     class that a pair names.
     """
     pairs = cut_lineage(pairs)
-    named = cut_lineage(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
-    wanted = cut_lineage(owners.join(named, owners["cls"] == named["a"], "left_semi"))
-    found = texts.join(_sent(wanted), texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["row"] == wanted["row"])).select("cls", "text")
-    sets = cut_lineage(found.mapInArrow(lean(_set_batches(size)), "cls binary, n int, tokens binary")).dropDuplicates(["cls"]).select("cls", "tokens")
+    sets = _sets(cut_lineage(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()), texts, owners, size)
     # Only shingles of more than a block of pairs are cut, so the join that tells them moves no pair by its shingle.
     large = pairs.groupBy("token").agg(F.ceil(F.sqrt(F.count("*") / F.lit(BLOCK))).cast("long").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
@@ -250,11 +263,129 @@ def _star(groups: DataFrame, turn: int, percent: int) -> DataFrame:
     return shared.withColumn("rank", rank).where(F.col("rank") <= LEADERS).select(F.col("other").alias("a"), F.col("cls").alias("b"), "token")
 
 
+def _families(crowd: DataFrame) -> DataFrame:
+    """``cls, n, root, family`` of the classes of crowded shingles; shingles that one class holds together are one family."""
+    lowest = crowd.groupBy("cls", "n", "root").agg(F.min("token").alias("low"))
+    edges = crowd.select("token", "cls").join(lowest.select("cls", "low"), "cls").select("token", "low").distinct()
+    joined = linked(edges, "token", "low").select(F.col("id").alias("low"), F.col("component_id").alias("family"))
+    return lowest.join(joined, "low", "left").select("cls", "n", "root", F.coalesce("family", "low").alias("family"))
+
+
+def _pack(batches: Batches) -> Batches:
+    """Sets in order of family and component to blocks, each of one family."""
+
+    def rows():
+        held, size = [], 0
+        for part in slices(batches):
+            for row in zip(*columns(part, "family", "root", "n", "cls", "tokens"), strict=True):
+                if held and (held[0][0] != row[0] or size >= BLOCK_TOKENS):
+                    yield block(held)
+                    held, size = [], 0
+                held.append(row)
+                size += row[2]
+        if held:
+            yield block(held)
+
+    def block(held: list) -> tuple:
+        family, roots, sizes, classes, tokens = zip(*held, strict=True)
+        return family[0], min(roots), max(roots), min(sizes), max(sizes), classes, roots, sizes, b"".join(tokens)
+
+    yield from packed(rows(), BLOCKS, lambda row: 60 * len(row[5]) + len(row[8]))
+
+
+class _Block:
+    """Sets of a packed block: classes, components and the shingles of all, one after another."""
+
+    def __init__(self, classes: list[bytes], roots: list[bytes], sizes: list[int], tokens: bytes):
+        self.classes, self.roots, self.n = classes, roots, np.array(sizes, np.int64)
+        self.tokens, self.row = np.frombuffer(tokens, "<u8"), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _overlaps(x: _Block, y: _Block) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks."""
+    both = np.zeros((len(x.n), len(y.n)), np.float32)
+    shared = np.intersect1d(np.unique(x.tokens), np.unique(y.tokens), assume_unique=True)
+    if not len(shared):
+        return both
+    cells = []
+    for side in (x, y):
+        at = np.minimum(np.searchsorted(shared, side.tokens), len(shared) - 1)
+        cells.append((side.row[own := np.flatnonzero(shared[at] == side.tokens)], at[own]))
+    for start in range(0, len(shared), COLUMNS):
+        ones = []
+        for side, (row, at) in zip((x, y), cells, strict=True):
+            own = (at >= start) & (at < start + COLUMNS)
+            ones.append(np.zeros((len(side.n), min(COLUMNS, len(shared) - start)), np.float32))
+            ones[-1][row[own], at[own] - start] = 1
+        both += ones[0] @ ones[1].T
+    return both
+
+
+def _joined(x: _Block, y: _Block, percent: int) -> list[tuple[bytes, bytes]]:
+    """Similar pairs of two blocks that connect what all their similar pairs connect."""
+    names, codes = np.unique(np.array([*x.roots, *y.roots], object), return_inverse=True)
+    of_x, of_y = codes[: len(x.roots)], codes[len(x.roots) :]
+    small, large = np.minimum.outer(x.n, y.n), np.maximum.outer(x.n, y.n)
+    open_ = (of_x[:, None] != of_y[None]) & (100 * small >= percent * large)
+    if not open_.any():
+        return []
+    both = _overlaps(x, y).astype(np.int64)
+    a, b = np.nonzero(open_ & (100 * both >= percent * (x.n[:, None] + y.n[None] - both)))
+    _, once = np.unique(of_x[a] * len(names) + of_y[b], return_index=True)
+    parent, found = list(range(len(names))), []
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    for i, j in zip(a[once].tolist(), b[once].tolist(), strict=True):
+        if (u := root(of_x[i])) != (v := root(of_y[j])):
+            parent[u] = v
+            found.append((x.classes[i], y.classes[j]))
+    return found
+
+
+def _meet(percent: int) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        def rows():
+            for part in slices(batches, 1):
+                left, right = (_Block(*(columns(part, f"{side}_{name}")[0][0] for name in BLOCKS.names[5:])) for side in "xy")
+                yield from _joined(left, right, percent)
+
+        yield from packed(rows(), PAIRS)
+
+    return run
+
+
+def _crowded(crowd: DataFrame, texts: DataFrame, owners: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of all pairs within the families of ``crowd(token, cls, n, root)``, similar ones that connect what all similar ones connect.
+
+    Sets are packed by family and component into blocks, written once; a task
+    reads two blocks and multiplies them. So no pair is a row, disk holds the
+    sets and memory two blocks. Blocks of one and the same component, or of
+    sizes too far apart, do not meet. The work grows with the square of what stars
+    leave apart in a family, which is dealt over all tasks.
+    """
+    sets = _sets(crowd.select("cls"), texts, owners, size)
+    total = crowd.agg(F.sum("n")).first()[0]
+    parts, order = max(1, min(PARTS, -(-total // BLOCK_TOKENS))), ("family", "root", "n", "cls")
+    ranged = crowd.join(sets, "cls").repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(parts)
+    kinds = "family long, low binary, high binary, least int, most int, classes array<binary>, roots array<binary>, sizes array<int>, tokens binary"
+    blocks = cut_lineage(ranged.mapInArrow(lean(_pack), kinds).withColumn("no", F.monotonically_increasing_id()))
+    x, y = (blocks.select(*(F.col(name).alias(f"{side}_{name}") for name in blocks.columns)) for side in "xy")
+    apart = "NOT (x_low = x_high AND y_low = y_high AND x_low = y_low)"
+    meets = f"x_family = y_family AND x_no <= y_no AND {apart} AND 100L * x_most >= {percent}L * y_least AND 100L * y_most >= {percent}L * x_least"
+    met = x.join(y.hint("shuffle_replicate_nl"), F.expr(meets)).select(*(f"{side}_{name}" for side in "xy" for name in BLOCKS.names[5:]))
+    return cut_lineage(met.mapInArrow(lean(_meet(percent)), "a binary, b binary"))
+
+
 def _edges(texts: DataFrame, owners: DataFrame, sent, size: int, percent: int, bits: int) -> DataFrame:
     """Components ``id, component_id`` of the classes that link with another.
 
     Rounds of stars connect what is easily connected; then all pairs that are
-    still in different components are compared.
+    still in different components are compared: the classes of crowded shingles
+    by families in packed blocks, all others pair by pair.
     """
     groups = _candidate_groups(texts, sent, size, percent, bits)
     near, known = None, None
@@ -262,11 +393,18 @@ def _edges(texts: DataFrame, owners: DataFrame, sent, size: int, percent: int, b
         some = _verified(_star(_labelled(groups, known), turn, percent), texts, owners, size, percent)
         near = some if near is None else near.unionByName(some)
         known = linked(near)
-    open_ = cut_lineage(_labelled(groups, known))
-    x, y = open_.where("first").alias("x"), open_.alias("y")
+    open_ = cut_lineage(_labelled(groups, known).withColumn("crowded", F.count("*").over(Window.partitionBy("token")) > CROWD))
+    crowd = open_.where("crowded").select("token", "cls", "n", "root")
+    if crowd.isEmpty():
+        rest = open_.withColumn("family", F.lit(None).cast("long"))
+    else:
+        families = cut_lineage(_families(crowd))
+        near = near.unionByName(_crowded(families, texts, owners, size, percent))
+        rest = open_.where("NOT crowded").join(families.select("cls", "family"), "cls", "left")
+    x, y = rest.where("first").alias("x"), rest.alias("y")
     smaller = F.expr("x.n < y.n OR (x.n = y.n AND x.cls < y.cls)")
     room = F.expr(f"least(x.n - x.at, y.n - y.at) * {100 + percent}L >= {percent}L * (x.n + y.n)")  # positional bound
-    met = x.join(y, F.expr(f"x.token = y.token AND x.root <> y.root AND 100L * x.n >= {percent}L * y.n") & smaller & room)
+    met = x.join(y, F.expr(f"x.token = y.token AND x.root <> y.root AND NOT coalesce(x.family = y.family, false) AND 100L * x.n >= {percent}L * y.n") & smaller & room)
     pairs = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.min("x.token").alias("token"))
     return linked(near.unionByName(_verified(pairs, texts, owners, size, percent)))
 

@@ -362,6 +362,32 @@ def test_near_duplicates(spark, percent):
     assert ngram_join.near_duplicates(frame(spark, rows[:0]), bits=16).count() == 0
 
 
+def test_crowd_of_near_copies_is_not_paired(spark, monkeypatch):
+    """A large group that shares much but hardly links, drifting families in it: blocks of sets instead of a row per pair."""
+    rnd, rows, asked = random.Random(5), [], []
+    core = prose(rnd, 200).split()
+    for k in range(160):
+        words = list(core)
+        for at in rnd.sample(range(len(words)), rnd.choice([2, 6, 9])):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (asked.append(pairs.count()), verified(pairs, *rest))[1])
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 4000)
+    got = ngram_join.near_duplicates(frame(spark, rows), bits=16).drop("row").collect()
+    same(got, near_documents(rows))
+    assert len({r["component_id"] for r in got}) > 40
+    assert sum(asked) <= 2 * ngram_join.STARS * ngram_join.LEADERS * len(rows)
+
+
+def test_overlaps_of_blocks_over_several_stretches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    rnd = np.random.default_rng(2)
+    sides = [[np.unique(rnd.integers(0, 60, rnd.integers(1, 40))).astype(np.uint64) for _ in range(n)] for n in (9, 5)]
+    x, y = (ngram_join._Block([b""] * len(s), [b""] * len(s), [len(t) for t in s], np.concatenate(s).tobytes()) for s in sides)
+    assert ngram_join._overlaps(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+
+
 def test_linked(spark):
     rnd = random.Random(9)
     edges = [(k, k + 1) for k in range(200, 260)] + [(rnd.randrange(100), rnd.randrange(100)) for _ in range(60)] + [(300, k) for k in range(301, 400)]
