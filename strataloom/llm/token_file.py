@@ -28,9 +28,10 @@ from strataloom.session import work_folder
 LIMIT = 18  # bits of the longest code word, if so many words suffice
 EVERY = 256  # ids between two checkpoints
 BLOCK = 1 << 18  # ids after which a block ends
-CACHED = 200_000  # words in each of the two generations whose ids a worker keeps
+CACHED = 400_000  # words in each of the two generations whose ids a worker keeps
 
 IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+DRAFTS = IDS.append(pa.field("counts", pa.binary()))
 COUNTS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 BLOCKS = pa.schema([
     ("part", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())),
@@ -148,6 +149,7 @@ class WordTokenizer:
         top = max([-1, *self.tokenizer.get_vocab(with_added_tokens=True).values()])
         self.id_bytes = [i.to_bytes(self.width, "little") for i in range(top + 1)]
         self.marked = re.compile("|".join(map(re.escape, self.marks))).search if self.marks else lambda word: None
+        self.sign = next((c for c in self.marks[0] if all(c in m for m in self.marks)), "") if self.marks else "\0"  # in every mark, so words without it hold none
         self.simple = not any(m.isalpha() for m in self.marks)  # no mark can stand in a word of letters alone
         self.words, self.letters, self.others = _Known(self._word), _Known(self._letters), _Known(self._other)
 
@@ -159,12 +161,11 @@ class WordTokenizer:
         if core.isascii() and core.isalpha():
             if core == word and self.simple:
                 return self.letters[word.lower()]
-            if not self.marked(word):
-                at = word.index(core)
-                before, after = word[:at], word[at + len(core) :]
+            if self.sign not in word or not self.marked(word):
+                before, _, after = word.partition(core)
                 return (self.others[before] if before else b"") + self.letters[core.lower()] + (self.others[after] if after else b"")
         plain = _PLAIN(word)
-        if plain is None or self.marked(word):
+        if plain is None or self.sign in word and self.marked(word):
             return self.others[word]
         before, run, after = plain.groups()
         found = self.letters[run.lower()]
@@ -220,35 +221,41 @@ def _from_planes(held: bytes, n: int, width: int) -> np.ndarray:
 
 
 def _tokenise(path: str, end: int | None) -> Callable[[Batches], Batches]:
+    """Ids of each document; a task's last row holds its ``counts`` of all ids and nothing else."""
+
     def run(batches: Batches) -> Batches:
         own = word_tokenizer(path)
         tail = b"" if end is None else np.array([end], own.kind).tobytes()
         width = np.dtype(own.kind).itemsize
 
         def rows():
+            total = np.zeros(0, np.int64)
             for part in slices(batches):
                 docs, texts = columns(part, "doc_id", "text")
-                for doc, ids in zip(docs, own.encode([t or "" for t in texts]), strict=True):
-                    yield doc, (len(ids) + len(tail)) // width, _planes(ids + tail, width)
+                encoded = [ids + tail for ids in own.encode([t or "" for t in texts])]
+                found = np.bincount(np.frombuffer(b"".join(encoded), own.kind), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                for doc, ids in zip(docs, encoded, strict=True):
+                    yield doc, len(ids) // width, _planes(ids, width), None
+            if len(total):
+                yield None, None, None, zlib.compress(total.astype("<i8").tobytes(), 1)
 
-        yield from packed(rows(), IDS, lambda row: 24 + len(row[2]))
+        yield from packed(rows(), DRAFTS, lambda row: 24 + len(row[2] or row[3]))
 
     return run
 
 
-def _count(width: int) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        total = np.zeros(0, np.int64)
-        for part in slices(batches):
-            held = [_from_planes(ids, n, width) for n, ids in zip(*columns(part, "n_tokens", "ids"), strict=True) if n]
-            if held:
-                found = np.bincount(np.concatenate(held), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=COUNTS)
-
-    return run
+def _count(batches: Batches) -> Batches:
+    """The counts of several tasks as one."""
+    total = np.zeros(0, np.int64)
+    for part in slices(batches, 16):
+        for held in part.column("counts").to_pylist():
+            found = np.frombuffer(zlib.decompress(held), "<i8").copy()
+            short, total = sorted((total, found), key=len)
+            total[: len(short)] += short
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=COUNTS)
 
 
 def _to_blocks(lengths: np.ndarray, width: int, block: int) -> Callable[[Batches], Batches]:
@@ -293,10 +300,11 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int | None
     path = path or public_tokenizers.path("word_bpe_49k.json")
     width = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
     drafts = work_folder(spark, "token-drafts")
-    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenise(path, end), ddl(IDS))
+    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenise(path, end), ddl(DRAFTS))
     ids.write.option("compression", "none").parquet(drafts)
-    held = spark.read.parquet(drafts)
-    counted = held.select("n_tokens", "ids").mapInArrow(_count(width), ddl(COUNTS)).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    both = spark.read.parquet(drafts)
+    held = both.where("counts IS NULL").drop("counts")
+    counted = both.select("counts").where("counts IS NOT NULL").mapInArrow(_count, ddl(COUNTS)).groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=0) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -362,6 +363,18 @@ def test_near_duplicates(spark, percent):
     assert ngram_join.near_duplicates(frame(spark, rows[:0]), bits=16).count() == 0
 
 
+def test_ids_are_counted_as_they_are_made():
+    """The written ids are not read a second time for their counts; the counts of tasks add up."""
+    path, batches = P.path("word_bpe_49k.json"), []
+    for texts in (["one two", None], ["two, three"], []):
+        table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+        batches += token_file._tokenise(path, 2)(iter(table.to_batches()))
+    counts = pa.RecordBatch.from_pydict({"counts": pa.array([c for b in batches for c in b["counts"].to_pylist() if c], pa.binary())})
+    own = token_file.word_tokenizer(path).tokenizer
+    want = collections.Counter(i for text in ("one two", "", "two, three") for i in [*own.encode(text, add_special_tokens=False).ids, 2])
+    assert {r["id"]: r["n"] for b in token_file._count(iter([counts])) for r in b.to_pylist()} == want
+
+
 def test_crowd_of_near_copies_is_not_paired(spark, monkeypatch):
     """A large group that shares much but hardly links, drifting families in it: blocks of sets instead of a row per pair."""
     rnd, rows, asked = random.Random(5), [], []
