@@ -28,9 +28,9 @@ from strataloom.llm.common import KEPT, Batches, chained, columns, lean, packed,
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-KEPT_BYTES = 24 << 20  # of the results of each of the two generations that a worker keeps; workers live on beside later stages
+KEPT_BYTES = 10 << 20  # of the results of each of the two generations that a worker keeps; workers live on beside later stages
 KEPT_PAIRS = 1 << 16
-TOGETHER = 1 << 20  # characters of texts that are encoded together
+TOGETHER = 1 << 18  # characters of texts that are encoded together
 ENTRY = 160  # bytes of an entry besides its key and value
 
 
