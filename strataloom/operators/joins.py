@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.functions.numeric import clamp, first_match, ratio, rnd
-from strataloom.operators.profile import cell_text
+from strataloom.operators.profile import counts_by_column
 
 RELATION_KEYS = ["source_table", "source_col", "target_table", "target_col"]
 
@@ -68,13 +68,10 @@ def joinability(frames: Mapping[str, DataFrame], relations: DataFrame) -> DataFr
         sides.setdefault((st, sc), []).append((i, 1))
         sides.setdefault((tt, tc), []).append((i, 2))
     values = None
-    for table in {t for t, _ in sides}:
-        df = frames[table]
-        uses = [
-            F.struct(F.lit(i).alias("rel"), F.lit(side).alias("side"), cell_text(df, c).alias("value"))
-            for (t, c), marks in sides.items() if t == table for i, side in marks
-        ]
-        one = df.select(F.explode(F.array(*uses)).alias("u")).select("u.*").where(F.col("value").isNotNull())
+    for (table, c), marks in sides.items():
+        # Distinct cells of a column are found before they are spelled out and marked for each of its relations.
+        cells = counts_by_column(frames[table], [c]).select("value", F.explode(F.array(*[F.struct(F.lit(i).alias("rel"), F.lit(side).alias("side")) for i, side in marks])).alias("u"))
+        one = cells.select("u.rel", "u.side", "value")
         values = one if values is None else values.unionByName(one)
     schema = "rel int, source_table string, source_col string, target_table string, target_col string"
     names = spark.createDataFrame(rels, schema)

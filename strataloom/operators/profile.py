@@ -76,6 +76,40 @@ def value_counts(df: DataFrame, cols=None) -> DataFrame:
     )
 
 
+def _told_apart(df: DataFrame, c: str) -> list[Column]:
+    """What tells cells of a column apart as their text does; numbers and times without being spelled out."""
+    kind, cell = df.schema[c].dataType, F.col(c)
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampNTZType)):
+        return [cell]
+    if isinstance(kind, T.FractionalType):
+        return [cell, F.when(cell == 0, cell.cast("string"))]  # grouping takes -0.0 for 0.0, text does not
+    return [cell_text(df, c)]
+
+
+def counts_by_column(df: DataFrame, cols=None) -> DataFrame:
+    """The rows of :func:`value_counts`, columns of one type grouped together, and only distinct cells made text.
+
+    Cells of all columns in one grouping are a row each with its column's name and a spelled-out value: on wide tables
+    of numbers that is most of the work.
+    """
+    cols = list(df.columns if cols is None else cols)
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        keys = _told_apart(df, c)
+        kinds.setdefault("text" if len(keys) == 1 and isinstance(df.select(keys[0]).schema[0].dataType, T.StringType) else df.schema[c].dataType.simpleString(), []).append(c)
+    out = None
+    for together in kinds.values():
+        keys = [_told_apart(df, c) for c in together]
+        names = [f"k{i}" for i in range(len(keys[0]))]
+        cells = [F.struct(F.lit(i).alias("no"), *[k.alias(n) for k, n in zip(key, names, strict=True)]) for i, key in enumerate(keys)]
+        rows = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*") if len(cells) > 1 else df.select(cells[0].alias("cell")).select("cell.*")
+        held = rows.where("k0 IS NOT NULL").groupBy("no", *names).agg(F.count("*").alias("copies"))
+        text = F.coalesce("k1", F.col("k0").cast("string")) if len(names) > 1 else F.col("k0").cast("string")
+        one = held.select(F.get(F.array(*map(F.lit, together)), "no").alias("column"), text.alias("value"), "copies")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else df.sparkSession.createDataFrame([], "column string, value string, copies long")
+
+
 def null_counts(df: DataFrame, cols=None) -> DataFrame:
     cols = list(cols or df.columns)
     aggs = [F.count(cell_text(df, c)).alias(f"filled__{i}") for i, c in enumerate(cols)]
@@ -89,7 +123,7 @@ def columns(df: DataFrame, table: str, cols=None, exact: bool = True, counts: Da
     """``table, column, rows, filled, nulls, null_pct, cardinality, uniqueness_ratio, duplicate_proxy``."""
     cols = list(cols or df.columns)
     if exact:
-        counts = counts if counts is not None else value_counts(df, cols)
+        counts = counts if counts is not None else counts_by_column(df, cols)
         distinct = counts.groupBy("column").agg(F.count("*").alias("cardinality"))
     else:
         row = df.agg(*[F.approx_count_distinct(cell_text(df, c), 0.01).alias(f"cardinality__{i}") for i, c in enumerate(cols)])

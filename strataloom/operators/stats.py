@@ -119,14 +119,15 @@ def outliers(df: DataFrame, cols=None, z: float = 3.0, strict: bool = False, fac
 
 
 def z_outliers(df: DataFrame, cols=None, z: float = 3.0) -> DataFrame:
-    """The z-score part of :func:`outliers`: ``column, n, zscore_outliers`` by two scans, without quantiles."""
+    """The z-score part of :func:`outliers`: ``column, n, zscore_outliers`` by two scans of one job, without quantiles."""
     cols = list(cols or numeric_columns(df))
-    facts = df.agg(*[f(number(c)) for c in cols for f in (F.avg, F.stddev_pop)]).first()
+    facts = df.agg(*[f(number(c)).alias(f"{name}__{i}") for i, c in enumerate(cols) for name, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    cells = df.select(*[number(c).alias(f"v__{i}") for i, c in enumerate(cols)]).crossJoin(F.broadcast(facts))
     aggs = []
-    for i, c in enumerate(cols):
-        v, mean, std = number(c), facts[2 * i], facts[2 * i + 1]
-        aggs += [count_if(F.abs((v - mean) / std) >= z if std else F.lit(False)).alias(f"zscore_outliers__{i}"), F.count(v).alias(f"n__{i}")]
-    return one_row_to_long(df.agg(*aggs), cols, {"n": "long", "zscore_outliers": "long"})
+    for i in range(len(cols)):
+        v, mean, std = F.col(f"v__{i}"), F.col(f"mean__{i}"), F.col(f"std__{i}")
+        aggs += [count_if(F.when(std != 0, F.abs((v - mean) / std) >= z)).alias(f"zscore_outliers__{i}"), F.count(v).alias(f"n__{i}")]
+    return one_row_to_long(cells.agg(*aggs), cols, {"n": "long", "zscore_outliers": "long"})
 
 
 def outlier_values(df: DataFrame, cols=None, z: float = 3.0, strict: bool = False, keep: int = 25) -> DataFrame:

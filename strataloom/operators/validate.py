@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.numeric import clamp, count_if, ratio, rnd
@@ -15,14 +15,20 @@ NUMERIC_LABELS = ("quantity", "score", "age", "monetary_value")
 CHECKS = ("invalid_dates", "null_key_violations", "enum_violations", "type_mismatches")
 
 
-def run(counts: DataFrame, profile: DataFrame, labelled: DataFrame) -> DataFrame:
+def is_dated() -> Column:
+    """Whether a labelled column is asked for dates."""
+    return (F.col("label") == "datetime") | F.lower("column").rlike("date|time|timestamp")
+
+
+def run(counts: DataFrame, profile: DataFrame, labelled: DataFrame, few: DataFrame | None = None) -> DataFrame:
     """``table, column, check, count, severity`` for the four column rules.
 
     Works on value counts (``column, value, copies``), so each distinct value
-    is tested once and weighted by its copies.
+    is tested once and weighted by its copies. ``few`` holds those of the
+    columns of at most ten values, if ``counts`` does not.
     """
     copies = F.col("copies")
-    dated = (F.col("label") == "datetime") | F.lower("column").rlike("date|time|timestamp")
+    dated = is_dated()
     # Dates and numbers are parsed only where a rule asks for them: a value that is no date costs six failed parses.
     asked = labelled.join(profile.select("table").distinct(), "table", "left_semi").select("column", dated.alias("dated"), F.col("label").isin(*NUMERIC_LABELS).alias("numeric"))
     asked = asked.where(F.col("dated") | F.col("numeric"))
@@ -33,7 +39,7 @@ def run(counts: DataFrame, profile: DataFrame, labelled: DataFrame) -> DataFrame
     # A low-cardinality column has at most ten values; only those are folded to lower case.
     small = profile.where(F.col("cardinality") <= 10).select("column")
     rare = (
-        counts.join(F.broadcast(small), "column", "left_semi")
+        (counts if few is None else few).join(F.broadcast(small), "column", "left_semi")
         .groupBy("column", F.lower("value").alias("low")).agg(F.sum("copies").alias("c"))
         .groupBy("column").agg(F.count("*").alias("kinds"), count_if(F.col("c") == 1).alias("rare"))
     )

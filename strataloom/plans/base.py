@@ -6,12 +6,14 @@ folder (spilling to disk, rebuilt from its lineage if an executor is lost).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators import chunking, extract
-from strataloom.session import load
+from strataloom.session import cut_lineage, load
 
 _KEPT: dict[tuple, DataFrame] = {}
 
@@ -23,6 +25,20 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _KEPT[key]
 
 
+def settled(spark: SparkSession, sf_dir: str, name: str, tables, make) -> DataFrame:
+    """Rows of a report on columns, ``make(t)`` for each of ``tables``; kept per table.
+
+    Those not kept yet are worked out in one job and written once: a report that reads them several times then plans a
+    few rows, not the scans of all tables each time.
+    """
+    held = lambda t: (spark.sparkContext.applicationId, id(spark), sf_dir, f"{name} {t}") in _KEPT
+    if missing := [t for t in tables if not held(t)]:
+        rows = cut_lineage(reduce(DataFrame.unionByName, [make(t) for t in missing]).coalesce(1))
+        for t in missing:
+            kept(spark, sf_dir, f"{name} {t}", lambda t=t: rows.where(F.col("table") == t))
+    return reduce(DataFrame.unionByName, [_KEPT[(spark.sparkContext.applicationId, id(spark), sf_dir, f"{name} {t}")] for t in tables])
+
+
 def forget(spark: SparkSession) -> None:
     """Free what :func:`kept` holds."""
     for df in _KEPT.values():

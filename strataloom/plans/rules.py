@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataloom.operators import joins, profile, stats, timeseries, validate
 from strataloom.plans import base
@@ -31,11 +32,7 @@ def frames(spark, sf_dir, names=RELATIONAL):
 
 def profiled(spark, sf_dir, names):
     """``profile.tables`` of the named tables; the row of each column is kept for the session."""
-    out = None
-    for t in names:
-        one = base.kept(spark, sf_dir, f"profile {t}", lambda t=t: profile.columns(load(spark, sf_dir, t), t))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return base.settled(spark, sf_dir, "profile", names, lambda t: profile.columns(load(spark, sf_dir, t), t))
 
 
 def _names_sql(pattern_case: str) -> str:
@@ -183,12 +180,8 @@ FLAGS_SQL = flags_sql(FLAG_TABLES)
 
 
 def flagged(spark, sf_dir, names=tuple(FLAG_TABLES)):
-    out = None
-    for t in names:
-        df = load(spark, sf_dir, t)
-        one = base.kept(spark, sf_dir, f"flags {t}", lambda df=df, t=t: profile.anomalies(profiled(spark, sf_dir, (t,)), stats.z_outliers(df)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    profiled(spark, sf_dir, names)
+    return base.settled(spark, sf_dir, "flags", names, lambda t: profile.anomalies(profiled(spark, sf_dir, (t,)), stats.z_outliers(load(spark, sf_dir, t))))
 
 
 @query("anomaly_flags", FLAGS_SQL)
@@ -224,14 +217,20 @@ CHECKED = ("events", "orders", "customer")
 
 
 def findings(spark, sf_dir, names=CHECKED):
-    labels = labelled(spark, sf_dir, names)
-    out = None
-    for t in names:
-        df = load(spark, sf_dir, t)
-        # The few rows of a table are kept: they are read several times by one report.
-        one = base.kept(spark, sf_dir, f"findings {t}", lambda df=df, t=t: validate.run(profile.value_counts(df), profiled(spark, sf_dir, (t,)), labels))
-        out = one if out is None else out.unionByName(one)
-    return out
+    labels, numeric = labelled(spark, sf_dir, names), F.col("label").isin(*validate.NUMERIC_LABELS)
+    # One row per column: which values a rule looks at.
+    looks = profiled(spark, sf_dir, names).join(F.broadcast(labels), ["table", "column"]).select("table", "column", validate.is_dated().alias("dated"), numeric.alias("numeric"), (F.col("cardinality") <= 10).alias("small"))
+    asked = looks.collect()
+    return base.settled(spark, sf_dir, "findings", names, lambda t: _checked(spark, sf_dir, t, [r for r in asked if r["table"] == t], labels))
+
+
+def _checked(spark, sf_dir, t, asked, labels):
+    df, prof = load(spark, sf_dir, t), profiled(spark, sf_dir, (t,))
+    # The text of a number is a number: such a column needs its count only.
+    sure = [r["column"] for r in asked if r["numeric"] and not r["dated"] and isinstance(df.schema[r["column"]].dataType, T.NumericType)]
+    parsed = prof.where(F.col("column").isin(sure)).select("column", F.lit("0").alias("value"), F.col("filled").alias("copies"))
+    counts = profile.counts_by_column(df, [r["column"] for r in asked if (r["dated"] or r["numeric"]) and r["column"] not in sure]).unionByName(parsed)
+    return validate.run(counts, prof, labels, profile.counts_by_column(df, [r["column"] for r in asked if r["small"]]))
 
 
 def _findings_sql(t: str) -> str:
